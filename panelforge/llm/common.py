@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,13 +44,25 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of jobs that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which a driver
+    with little to do may not do for long.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that `cut` wrote and nobody reads again."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batch_of, cut, map_rows
+from panelforge.llm.common import batch_of, cut, drop_cut, free_shuffles, map_rows
 from panelforge.llm.suffix import maximal_repeats, suffix_array
 
 #: Bytes hashed at once, and bytes of the contexts that share a suffix array.
@@ -26,7 +26,11 @@ CONTEXT_BYTES = 1 << 19
 #: An anchor with more different contexts is split by the strings themselves.
 ANCHOR_LIMIT = 200
 #: Bytes of an anchor's k-gram.
-GRAM = 48
+GRAM = 32
+#: A run of starts travels as one number: its first start, its last and its anchor past that, 7 bits each for these.
+_BITS = 7
+#: Starts that are compared at once where an anchor has very many contexts.
+STRETCH = 16
 LAST_ID = (1 << 63) - 1
 
 
@@ -57,13 +61,13 @@ def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(raws: list[bytes], length: int = 100, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Arrays text, lo, hi, hash: starts lo..hi of `length`-byte strings of a text that share an anchor.
+    """Arrays text, lo, hi, at, hash: starts lo..hi of `length`-byte strings of a text that share the anchor at `at`.
 
     Every start is in one run.  The anchor is the leftmost smallest k-gram
     hash inside the string, so it depends on the string alone.
     """
     window = length - gram + 1
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     parts: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -87,8 +91,10 @@ def anchors(raws: list[bytes], length: int = 100, gram: int = GRAM) -> tuple[np.
         at = (key[begin[owner] + place] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])])
         last = np.r_[new[1:], len(at)] - 1
-        shift = np.array([p[1] for p in parts])[owner[new]]
-        for kept, a in zip(out, (np.array([p[0] for p in parts])[owner[new]], place[new] + shift, place[last] + shift, h[at[new]].view(np.int64))):
+        of = owner[new]
+        shift = np.array([p[1] for p in parts])[of]
+        found = (np.array([p[0] for p in parts])[of], place[new] + shift, place[last] + shift, at[new] - begin[of] + shift, h[at[new]].view(np.int64))
+        for kept, a in zip(out, found):
             kept.append(a)
         parts.clear()
 
@@ -132,109 +138,133 @@ def _text(docs: DataFrame) -> DataFrame:
     return rows.withColumn("d", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("t", F.xxhash64("sha"))
 
 
-def _clean(spark) -> None:
-    """Let the driver drop what nothing refers to any more, shuffle files among it."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _context_rows(reps: DataFrame, length: int) -> DataFrame:
-    """h, d, t, lo, b: the bytes around anchors whose hash occurs more than once."""
+    """h, rid, lo, k, b: the bytes around anchors whose hash occurs more than once; k is the anchor's place less lo."""
+    spark = reps.sparkSession
 
     def make():
         def run(batch):
-            text, lo, hi, h = anchors(batch.column("raw").to_pylist(), length)
-            of = pa.array(text)
-            return batch_of(h=pa.array(h), d=batch.column("d").take(of), t=batch.column("t").take(of), lo=pa.array(lo, pa.int32()), hi=pa.array(hi, pa.int32()))
+            text, lo, hi, at, h = anchors(batch.column("raw").to_pylist(), length)
+            return batch_of(h=pa.array(h), rid=batch.column("rid").take(pa.array(text)), run=pa.array((((lo << _BITS) + hi - lo) << _BITS) + at - lo))
 
         return run
 
-    found = map_rows(reps.select("d", "t", "raw"), make, "h long, d long, t long, lo int, hi int")
+    found = map_rows(reps.select("rid", "raw"), make, "h long, rid long, run long")
     again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    _clean(reps.sparkSession)
-    shared = found.join(again, "h").groupBy("d", "t").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("runs"))
-    pieces = F.transform("runs", lambda r: F.struct(r["h"].alias("h"), r["lo"].alias("lo"), F.substring(F.col("raw"), r["lo"] + 1, r["hi"] - r["lo"] + length).alias("b")))
-    return reps.join(shared, ["d", "t"]).select("d", "t", F.explode(pieces).alias("p")).select("p.h", "d", "t", "p.lo", "p.b")
+    free_shuffles(spark)
+    shared = cut(found.join(again, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "run")).alias("runs")))
+    free_shuffles(spark)
+
+    def piece(r):
+        low = (1 << _BITS) - 1
+        lo, more, k = F.shiftright(r["run"], 2 * _BITS).cast("int"), F.shiftright(r["run"], _BITS).bitwiseAND(low).cast("int"), r["run"].bitwiseAND(low).cast("int")
+        return F.struct(r["h"].alias("h"), lo.alias("lo"), k.alias("k"), F.substring(F.col("raw"), lo + 1, more + length).alias("b"))
+
+    contexts = cut(reps.join(shared, "rid").select("rid", F.explode(F.transform("runs", piece)).alias("p")).select("p.h", "rid", "p.lo", "p.k", "p.b"))
+    drop_cut(again)
+    drop_cut(shared)
+    free_shuffles(spark)
+    return contexts
 
 
 def _spans_in_arrays(contexts: DataFrame, length: int) -> DataFrame:
-    """d, t, a, b: repeats that are not the first, from suffix arrays over whole anchors (h, d, t, lo, b)."""
+    """rid, a, b: repeats that are not the first, from suffix arrays over whole anchors (h, rid, lo, b)."""
 
     def spans(rows):
-        documents = sorted({(d, t) for _, d, t, _, _ in rows})
-        number = {x: i for i, x in enumerate(documents)}
-        doc = np.array([number[r[1], r[2]] for r in rows], np.int64)
-        lo = np.array([r[3] for r in rows], np.int64)
+        rids, doc = np.unique([r[1] for r in rows], return_inverse=True)
+        lo = np.array([r[2] for r in rows], np.int64)
         out: list[np.ndarray] = []
-        for size, which, offset in repeat_groups([r[4] for r in rows], length):
+        for size, which, offset in repeat_groups([r[3] for r in rows], length):
             place = (doc[which] << 32) + lo[which] + offset
             later = place[place > place.min()]
             if len(later):
                 out.append(np.stack([later, np.full(len(later), size)]))
         if not out:
             return None
-        place, size = np.unique(np.concatenate(out, axis=1), axis=1)
-        start = place & 0xFFFFFFFF
-        # Of spans that begin at one place the longest says it all.
-        last = np.r_[place[1:] != place[:-1], True]
-        place, start, size = place[last], start[last], size[last]
+        place, size = np.concatenate(out, axis=1)
+        by = np.lexsort((size, place))
+        place, size = place[by], size[by]
         end = np.maximum.accumulate(place + size)  # spans of a text that touch are one
         new = np.r_[True, place[1:] > end[:-1]]
         first, stop = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(place)] - 1
-        at = place[first] >> 32
         return batch_of(
-            d=pa.array([documents[i][0] for i in at], pa.int64()),
-            t=pa.array([documents[i][1] for i in at], pa.int64()),
-            a=pa.array(start[first], pa.int32()),
+            rid=pa.array(rids[place[first] >> 32], pa.int64()),
+            a=pa.array(place[first] & 0xFFFFFFFF, pa.int32()),
             b=pa.array(end[stop] & 0xFFFFFFFF, pa.int32()),
         )
 
     def run(batches):
         rows, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "t", "lo", "b"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "rid", "lo", "b"))):
                 if size > CONTEXT_BYTES and row[0] != last:
                     if (out := spans(rows)) is not None:
                         yield out
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[3])
                 last = row[0]
         if rows and (out := spans(rows)) is not None:
             yield out
 
-    together = contexts.select("h", "d", "t", "lo", "b").repartition("h").sortWithinPartitions("h")
-    return together.mapInArrow(run, "d long, t long, a int, b int")
+    together = contexts.select("h", "rid", "lo", "b").repartition("h").sortWithinPartitions("h")
+    return together.mapInArrow(run, "rid long, a int, b int")
+
+
+def _later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (rid, a, s): rid, a, b of those whose bytes s occur earlier, and the first row of each s."""
+    first = rows.groupBy("s").agg(F.min(F.struct("rid", "a")).alias("first"))
+    again = rows.join(first, "s").filter(F.struct("rid", "a") > F.col("first"))
+    return again.select("rid", "a", (F.col("a") + F.length("s")).cast("int").alias("b")), first.select("s", "first.*")
 
 
 def _spans_by_string(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: every string of `length` bytes is a key, its first place a minimum."""
-    starts = F.transform(F.sequence(F.lit(0), F.length("b") - length), lambda o: F.struct((F.col("lo") + o).alias("a"), F.substring(F.col("b"), o + 1, F.lit(length)).alias("s")))
-    each = contexts.select("d", "t", F.explode(starts).alias("x")).select("d", "t", "x.a", "x.s")
-    first = each.groupBy("s").agg(F.min(F.struct("d", "t", "a")).alias("first"))
-    later = each.join(first, "s").filter(F.struct("d", "t", "a") > F.col("first"))
-    return later.select("d", "t", "a", (F.col("a") + length).cast("int").alias("b"))
+    """The same for anchors with very many contexts (h, rid, lo, k, b), by bytes as keys and first places as minima.
+
+    First whole stretches of starts, laid out from the anchor so that equal
+    surroundings give equal stretches; then, among the first of each
+    stretch, every string of `length` bytes.
+    """
+    starts = F.length("b") - length  # the last start, from lo
+    number = F.sequence(F.floor((F.col("k") - starts) / STRETCH).cast("int"), F.floor(F.col("k") / STRETCH).cast("int"))
+
+    def stretch(q):
+        begin, end = F.greatest(F.lit(0), F.col("k") - q * STRETCH - (STRETCH - 1)), F.least(starts, F.col("k") - q * STRETCH)
+        return F.struct((F.col("lo") + begin).alias("a"), F.substring(F.col("b"), begin + 1, end - begin + length).alias("s"))
+
+    def single(o):
+        return F.struct((F.col("a") + o).cast("int").alias("a"), F.substring(F.col("s"), o + 1, F.lit(length)).alias("s"))
+
+    wide = contexts.select("rid", F.explode(F.transform(number, stretch)).alias("x")).select("rid", F.col("x.a").cast("int").alias("a"), "x.s")
+    whole, firsts = _later(wide)
+    each = firsts.select("rid", F.explode(F.transform(F.sequence(F.lit(0), F.length("s") - length), single)).alias("x")).select("rid", "x.a", "x.s")
+    return whole.unionByName(_later(each)[0])
 
 
 def repeated_spans(reps: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_LIMIT) -> DataFrame:
-    """d, t, spans: byte spans (a, b) of `reps` (d, t, raw) that repeats of `length` bytes or more with an earlier place cover.
+    """rid, spans: byte spans (a, b) of `reps` (rid, raw) that repeats of `length` bytes or more with an earlier place cover.
 
-    Contexts that are the same bytes collapse to the first of them by an
-    aggregate that combines before its shuffle; all others of them are repeats
-    as a whole.  Different contexts of an anchor meet in a suffix array.
+    Earlier is a smaller rid, or before it in the same text.  Contexts that
+    are the same bytes collapse to the first of them by an aggregate that
+    combines before its shuffle; all others of them are repeats as a whole.
+    Different contexts of an anchor meet in a suffix array.
     """
-    contexts = cut(_context_rows(reps, length))
-    _clean(reps.sparkSession)
+    contexts = _context_rows(reps, length)
     keyed = contexts.withColumn("m", F.md5("b"))
-    firsts = cut(keyed.groupBy("h", "m").agg(F.min(F.struct("d", "t", "lo", "b")).alias("f")).select("h", "m", "f.*"))
-    members = keyed.select("h", "m", "d", "t", "lo", F.length("b").alias("n"))
-    first_of = firsts.select("h", "m", F.struct("d", "t", "lo").alias("first"))
-    whole = members.join(first_of, ["h", "m"]).filter(F.struct("d", "t", "lo") > F.col("first")).select("d", "t", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).cast("int").alias("b"))
+    firsts = cut(keyed.groupBy("h", "m").agg(F.min(F.struct("rid", "lo", "k", "b")).alias("f")).select("h", "m", "f.*"))
+    free_shuffles(reps.sparkSession)
+    members = keyed.select("h", "m", "rid", "lo", F.length("b").alias("n"))
+    first_of = firsts.select("h", "m", F.struct("rid", "lo").alias("first"))
+    whole = members.join(first_of, ["h", "m"]).filter(F.struct("rid", "lo") > F.col("first")).select("rid", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).cast("int").alias("b"))
+    whole = cut(whole)
+    drop_cut(contexts)
+    free_shuffles(reps.sparkSession)
     counted = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     met = firsts.join(counted, "h")
     arrays = _spans_in_arrays(met.filter(F.col("n") <= anchor_limit), length)
     strings = _spans_by_string(met.filter(F.col("n") > anchor_limit), length)
     spans = whole.unionByName(arrays).unionByName(strings)
-    return spans.groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def _kept(raw: bytes, spans: list[dict]) -> tuple[int, int, str]:
@@ -272,10 +302,12 @@ def deduplicated(docs: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_
     first = ids.groupBy("sha").agg(F.min("d").alias("first_d"))
     known = ids.join(first, "sha").withColumn("copy", (F.col("d") > F.col("first_d")) & (F.col("n_bytes") >= length))
     alone = known.filter((F.col("n_bytes") >= length) & ~F.col("copy")).select("d", "t").distinct()
-    reps = cut(_text(docs).select("d", "t", "raw").join(alone, ["d", "t"], "left_semi"))
-    _clean(spark)
+    # Numbers in the order of the documents: ranges by (d, t), counted within them.
+    numbered = cut(alone.repartitionByRange("d", "t").sortWithinPartitions("d", "t").withColumn("rid", F.monotonically_increasing_id()))
+    reps = cut(_text(docs).select("d", "t", "raw").join(numbered, ["d", "t"]))
+    free_shuffles(spark)
     spans = cut(repeated_spans(reps, length, anchor_limit))
-    _clean(spark)
+    free_shuffles(spark)
 
     def make():
         def run(batch):
@@ -290,7 +322,7 @@ def deduplicated(docs: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_
 
         return run
 
-    cutout = map_rows(reps.join(spans, ["d", "t"]).select("d", "t", "raw", "spans"), make, "d long, t long, removed long, runs long, kept string").dropDuplicates(["d", "t"])
+    cutout = map_rows(reps.join(spans, "rid").select("d", "t", "raw", "spans"), make, "d long, t long, removed long, runs long, kept string").dropDuplicates(["d", "t"])
     return known.join(cutout, ["d", "t"], "left").select(
         "doc_id",
         "n_bytes",
