@@ -47,8 +47,8 @@ _WORDS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*").findall
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    """A lower-case word and its beginnings of 5 and 7 letters, marked as such."""
-    return (word, *[word[:n] + "*" for n in (5, 7) if len(word) > n])
+    """A lower-case word and its beginnings of 4, 5 and 7 letters, marked as such."""
+    return (word, *[word[:n] + "*" for n in (4, 5, 7) if len(word) > n])
 
 
 def features(text: str) -> set[str]:
@@ -85,10 +85,11 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row[column >= 0], column[column >= 0]
 
 
-def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity: float = 5e-4, ridge: float = 1e-4, least_texts: int = 4, rounds: int = 300) -> Model:
+def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity: float = 0.02, ridge: float = 1e-4, least_texts: int = 4, rounds: int = 300) -> Model:
     """Logistic loss + counterfactual * squared change of the log-odds under identity swaps + elastic net.
 
-    Solved by accelerated proximal gradient steps.  The swapped texts carry no
+    The weight of the absolute values is `sparsity` over the root of the
+    number of examples.  Solved by accelerated proximal gradient steps.  The swapped texts carry no
     label of their own; what they add is the penalty that makes a swap leave
     the score as it was.  Without examples of both labels the model is the
     base rate.
@@ -138,12 +139,12 @@ def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity:
             h += 2 * counterfactual / len(pairs) * (np.bincount(pc, d[pr], p) - np.bincount(mc, d[mr], p))
         norm, top = float(np.linalg.norm(h)), h
     step = 1 / (1.2 * norm + ridge + 1e-9)
-    w, b = np.zeros(p), math.log(rate / (1 - rate))
+    w, b, shrink = np.zeros(p), math.log(rate / (1 - rate)), sparsity / math.sqrt(n)
     v, vb, t = w, b, 1.0
     for _ in range(rounds):
         g, gb = gradient(v, vb)
         new = v - step * g
-        new = np.sign(new) * np.maximum(np.abs(new) - step * sparsity, 0)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * shrink, 0)
         new_b = vb - 1.0 * gb
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), new_b
