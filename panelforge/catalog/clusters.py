@@ -54,7 +54,7 @@ def k8(spark, d):
     "k9_columns_by_family",
     "family n",
     "",
-    "SELECT 'weekly' AS family, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'shape_normalized', 25 UNION ALL SELECT 'persistence', 2 UNION ALL SELECT 'trend', 1",
+    "SELECT * FROM (VALUES ('raw_level_features', CAST(0 AS BIGINT)), ('raw_profile_features', 0), ('normalized_shape_features', 15), ('energy_profile_features', 0), ('persistence_trend_features', 4), ('other_features', 10)) AS t(family, n)",
 )
 def k9(spark, d):
     return spark.createDataFrame(sorted(lb.columns_by_family([x for b in ft.WARD_BLOCKS.values() for x in b]).items()), "family string, n long")
@@ -108,26 +108,37 @@ def p2(spark, d):
 
 @query(
     "p4_assignment_summary",
-    "n_total n_valid n_special n_unassigned min_cluster max_cluster",
+    "n_total_labels n_valid_labels n_special_regime_labels n_regular_clusters_found n_unassigned_households min_cluster_size max_cluster_size",
     "",
-    f"""{c.ctes(B, GIVEN)} SELECT count(*) AS n_total, count(*) FILTER (cluster >= 0) AS n_valid, count(*) FILTER (cluster < 0) AS n_special, count(*) FILTER (cluster IS NULL) AS n_unassigned,
-  min(cluster) FILTER (cluster >= 0) AS min_cluster, max(cluster) FILTER (cluster >= 0) AS max_cluster FROM labels""",
+    f"""{c.ctes(B, GIVEN, REG)} SELECT count(*) AS n_total_labels, count(*) FILTER (cluster >= 0) AS n_valid_labels, count(*) FILTER (cluster < 0) AS n_special_regime_labels, count(DISTINCT cluster) FILTER (cluster >= 0) AS n_regular_clusters_found,
+  count(*) FILTER (cluster IS NULL) AS n_unassigned_households, (SELECT min(n) FROM (SELECT count(*) AS n FROM reg GROUP BY cluster)) AS min_cluster_size, (SELECT max(n) FROM (SELECT count(*) AS n FROM reg GROUP BY cluster)) AS max_cluster_size FROM labels""",
 )
 def p4(spark, d):
     return rp.assignment_summary(_given(spark, d))
 
 
-@query("p5_special_summary", "cluster n", "pct_of_all pct_of_assigned", f"{c.ctes(B, GIVEN)} SELECT cluster, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM labels) AS pct_of_all, 100.0 * count(*) / (SELECT count(cluster) FROM labels) AS pct_of_assigned FROM labels WHERE cluster < 0 GROUP BY 1")
+@query(
+    "p5_special_summary",
+    "n_special_regime_households",
+    "pct_special_regime_households_all_rows pct_special_regime_households_assigned_only",
+    f"""{c.ctes(B, GIVEN)} SELECT count(*) FILTER (cluster < 0) AS n_special_regime_households, 100.0 * count(*) FILTER (cluster < 0) / count(*) AS pct_special_regime_households_all_rows,
+  100.0 * count(*) FILTER (cluster < 0) / count(cluster) AS pct_special_regime_households_assigned_only FROM labels""",
+)
 def p5(spark, d):
     return rp.special_summary(_given(spark, d))
 
 
+@query("p5_special_counts", "cluster n", "", f"{c.ctes(B, GIVEN)} SELECT cluster, count(*) AS n FROM labels WHERE cluster < 0 GROUP BY 1")
+def p5b(spark, d):
+    return rp.special_counts(_given(spark, d))
+
+
 @query(
     "p6_level_dominance",
     "cluster",
-    "raw_mean raw_std z_mean z_std",
-    f"""{c.ctes(B, GIVEN, REG, ZP)} SELECT a.*, b.z_mean, b.z_std FROM (SELECT cluster, avg(mean) AS raw_mean, stddev_samp(mean) AS raw_std FROM rp GROUP BY 1) a
-JOIN (SELECT cluster, avg(mean) AS z_mean, stddev_samp(mean) AS z_std FROM zp GROUP BY 1) b USING (cluster)""",
+    "cluster_raw_profile_mean cluster_raw_profile_std cluster_normalized_profile_mean cluster_normalized_profile_std",
+    f"""{c.ctes(B, GIVEN, REG, ZP)} SELECT * FROM (SELECT cluster, avg(mean) AS cluster_raw_profile_mean, stddev_samp(mean) AS cluster_raw_profile_std FROM rp GROUP BY 1) a
+JOIN (SELECT cluster, avg(mean) AS cluster_normalized_profile_mean, stddev_samp(mean) AS cluster_normalized_profile_std FROM zp GROUP BY 1) b USING (cluster)""",
 )
 def p6(spark, d):
     return rp.level_dominance(_brand(spark, d), _given(spark, d))
@@ -174,11 +185,11 @@ def p11(spark, d):
 
 @query(
     "p12_distinctive_features",
-    "cluster rank feature family",
-    "standardized_difference",
+    "cluster rank feature feature_family",
+    "cluster_mean overall_mean standardized_difference",
     f"""{c.ctes(B, GIVEN, REG, c.stats())}, u AS (SELECT household_id, cluster, feature, x FROM (SELECT household_id, cluster, mean, std, zero_pct, cv FROM stats JOIN reg USING (household_id)) UNPIVOT (x FOR feature IN (mean, std, zero_pct, cv))),
-g AS (SELECT feature, avg(x) AS mu, stddev_samp(x) AS sd FROM u GROUP BY 1), e AS (SELECT cluster, feature, (avg(x) - any_value(mu)) / nullif(any_value(sd), 0) AS standardized_difference FROM u JOIN g USING (feature) GROUP BY 1, 2)
-SELECT * FROM (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(abs(standardized_difference), 9) DESC NULLS LAST, feature) AS INTEGER) AS rank, feature, 'level_dispersion' AS family, standardized_difference FROM e) WHERE rank <= 3""",
+g AS (SELECT feature, avg(x) AS mu, stddev_samp(x) AS sd FROM u GROUP BY 1), e AS (SELECT cluster, feature, avg(x) AS cluster_mean, any_value(mu) AS overall_mean, (avg(x) - any_value(mu)) / nullif(any_value(sd), 0) AS standardized_difference FROM u JOIN g USING (feature) GROUP BY 1, 2)
+SELECT * FROM (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(abs(standardized_difference), 9) DESC NULLS LAST, feature) AS INTEGER) AS rank, feature, 'raw_level' AS feature_family, cluster_mean, overall_mean, standardized_difference FROM e) WHERE rank <= 3""",
 )
 def p12(spark, d):
     return rp.distinctive_features(ft.level_features(_brand(spark, d)), _given(spark, d), 3)
@@ -317,12 +328,12 @@ def _score(x: str, higher: bool) -> str:
 
 
 RANK = f"""sc AS (SELECT *, {', '.join(f'{_score(x, up)} AS s{i}' for i, (x, up) in enumerate(va.SCORES))} FROM ev),
-rk AS (SELECT *, CAST({' + '.join(f'CAST(s{i} IS NOT NULL AS INTEGER)' for i in range(5))} AS INTEGER) AS n_scores FROM sc),
-ranked AS (SELECT *, ({' + '.join(f'coalesce(s{i}, 0)' for i in range(5))}) / n_scores - CASE WHEN smallest_cluster < 60 THEN 0.25 ELSE 0 END - CASE WHEN smallest_cluster <= 1 THEN 0.35 ELSE 0 END
-  - CASE WHEN cluster_balance < 0.1 THEN 0.25 ELSE 0 END - CASE WHEN level_dominance_warning THEN 0.2 ELSE 0 END - CASE WHEN n_scores < 3 THEN 0.15 ELSE 0 END AS composite_score FROM rk)"""
+rk AS (SELECT *, CAST({' + '.join(f'CAST(s{i} IS NOT NULL AS INTEGER)' for i in range(5))} AS INTEGER) AS n_available_components FROM sc),
+ranked AS (SELECT *, ({' + '.join(f'coalesce(s{i}, 0)' for i in range(5))}) / n_available_components - CASE WHEN smallest_cluster < 60 THEN 0.25 ELSE 0 END - CASE WHEN smallest_cluster <= 1 THEN 0.35 ELSE 0 END
+  - CASE WHEN cluster_balance < 0.1 THEN 0.25 ELSE 0 END - CASE WHEN level_dominance_warning THEN 0.2 ELSE 0 END - CASE WHEN n_available_components < 3 THEN 0.15 ELSE 0 END AS composite_score FROM rk)"""
 
 
-@query("e5_k_ranking", "k n_scores", "composite_score", f"WITH {EVAL}, {RANK} SELECT * FROM ranked")
+@query("e5_k_ranking", "k n_available_components", "composite_score", f"WITH {EVAL}, {RANK} SELECT * FROM ranked")
 def e5(spark, d):
     return va.rank_k(_evaluation(spark, d), 60)
 
@@ -332,7 +343,7 @@ def e6(spark, d):
     return va.shortlist(va.rank_k(_evaluation(spark, d), 60), 60)
 
 
-@query("e7_best_k", "k", "", f"WITH {EVAL}, {RANK} SELECT k FROM ranked ORDER BY composite_score DESC, n_scores DESC, k LIMIT 1")
+@query("e7_best_k", "k", "", f"WITH {EVAL}, {RANK} SELECT k FROM ranked ORDER BY composite_score DESC, n_available_components DESC, k LIMIT 1")
 def e7(spark, d):
     k, _ = va.best_k(va.rank_k(_evaluation(spark, d), 60))
     return spark.createDataFrame([(k,)], "k int")
@@ -383,3 +394,31 @@ def e4w(spark, d):
     matrix = fitted.transform(raw).cache()
     given = pc.FeatureInput(None, fitted, matrix, wd.ward(matrix))
     return pc.ward_stability(given, 3, runs=3)
+
+
+@query("e1_minmax_scores", "k", "s0 s1 s2 s3 s4", f"WITH {EVAL}, {RANK} SELECT * FROM ranked")
+def e1(spark, d):
+    return _evaluation(spark, d).select("k", *[va.minmax_score(x, up).alias(f"s{i}") for i, (x, up) in enumerate(va.SCORES)])
+
+
+@query("e2_regular_labels", "household_id cluster", "", f"{c.ctes(B, GIVEN, REG)} SELECT household_id, cluster FROM reg")
+def e2(spark, d):
+    return _given(spark, d).filter("cluster >= 0")
+
+
+@query("p16_forecast_table", "household_id cluster", "", f"{c.ctes(B)} SELECT DISTINCT household_id, CAST(household_id % 3 AS INTEGER) AS cluster FROM panel")
+def p16(spark, d):
+    return rp.forecast_table(_brand(spark, d).select("household_id").distinct().withColumn("cluster", (F.col("household_id") % 3).cast("int")))
+
+
+@query("k11_final_clustering", "household_id cluster", "")
+def k11(spark, d):
+    given = pc.feature_input(_brand(spark, d), exclude_zero_heavy=False)
+    return pc.feature_ward(given, 3).labels
+
+
+@query("k14_handoff_profiles", "cluster date", "mean", f"{c.ctes(B, FULL, REG, KEYS)}, labels2 AS (SELECT household_id, CAST(coalesce(new, labels.cluster) AS INTEGER) AS cluster FROM labels LEFT JOIN rank ON labels.cluster = rank.cluster), "
+    + REASSIGNED.replace("labels", "labels2").replace("reg", "reg2").replace(c.z().strip() + ", ", "").replace("zp AS", "zp2 AS").replace("JOIN zp USING", "JOIN zp2 USING").replace("zp.", "zp2.").replace("rp AS", "rp2 AS").strip().replace("zp2 AS", "reg2 AS (SELECT * FROM labels2 WHERE cluster >= 0), zp2 AS", 1)
+    + " SELECT cluster, date, avg(consumption) AS mean FROM panel JOIN final USING (household_id) GROUP BY 1, 2")
+def k14b(spark, d):
+    return lb.handoff(_brand(spark, d), _given(spark, d, False), 3)["profiles"]

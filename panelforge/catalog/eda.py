@@ -97,7 +97,7 @@ diag AS (SELECT stats.*, autocorr_lag_1, autocorr_lag_7, autocorr_lag_30, monthl
 DIAG_KEYS = "household_id zero_days peak_month_eda all_zero_flag near_constant_flag zero_heavy_flag regime_label degenerate_flag"
 DIAG = STATS + " autocorr_lag_1 autocorr_lag_7 autocorr_lag_30 monthly_profile_std trend_slope_normalized winter_mean summer_mean winter_summer_contrast"
 NORM = f"""{c.z()}, zl AS (SELECT *, lag(consumption) OVER w AS l1, lag(consumption, 7) OVER w AS l7 FROM z WINDOW w AS (PARTITION BY household_id ORDER BY date)),
-norm AS (SELECT household_id, max(consumption) - min(consumption) AS z_range, avg(abs(consumption - l1)) AS z_abs_diff_mean, {c.corr('l7', 'consumption')} AS z_autocorr_lag_7 FROM zl GROUP BY 1)"""
+norm AS (SELECT household_id, max(consumption) - min(consumption) AS normalized_range, avg(abs(consumption - l1)) AS normalized_abs_diff_mean, {c.corr('l7', 'consumption')} AS normalized_autocorr_lag_7 FROM zl GROUP BY 1)"""
 
 
 @query("a12_household_diagnostics", DIAG_KEYS, DIAG, f"{DIAGNOSTICS} SELECT * FROM diag")
@@ -111,7 +111,7 @@ def a12(spark, d):
     "",
     f"""{c.ctes(B, c.stats())}, q AS (SELECT quantile_cont(cv, 0.75) AS cv75, quantile_cont(mean, 0.33) AS m33, quantile_cont(mean, 0.67) AS m67 FROM stats)
 SELECT household_id, CASE WHEN mean IS NULL OR cv IS NULL THEN 'Unclassified' WHEN zero_pct >= 75 THEN 'Intermittent/Vacant' ELSE
-  (CASE WHEN mean >= m67 THEN 'High' WHEN mean <= m33 THEN 'Low' ELSE 'Medium' END) || ' ' || (CASE WHEN cv > cv75 THEN 'Variable' ELSE 'Stable' END) END AS category FROM stats, q""",
+  (CASE WHEN mean > m67 THEN 'High' WHEN mean < m33 THEN 'Low' ELSE 'Medium' END) || ' ' || (CASE WHEN cv > cv75 THEN 'Variable' ELSE 'Stable' END) END AS category FROM stats, q""",
 )
 def a13(spark, d):
     return st.categories(st.household_statistics(_brand(spark, d)))
@@ -119,11 +119,11 @@ def a13(spark, d):
 
 @query(
     "a14_phase1_summary",
-    "n_households n_all_zero n_near_constant n_zero_heavy n_regular peak_month_mode",
-    "median_mean iqr_mean median_cv median_autocorr_lag_7",
+    "n_households n_degenerate n_all_zero n_near_constant n_zero_heavy peak_month_mode",
+    "mean_household_consumption_median mean_household_consumption_q25 mean_household_consumption_q75 weekly_acf_median",
     f"""{DIAGNOSTICS}, mode AS (SELECT peak_month_eda FROM diag WHERE peak_month_eda IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, peak_month_eda LIMIT 1)
 SELECT count(*) AS n_households, count(*) FILTER (regime_label = 'all_zero') AS n_all_zero, count(*) FILTER (regime_label = 'near_constant') AS n_near_constant, count(*) FILTER (regime_label = 'zero_heavy') AS n_zero_heavy,
-  count(*) FILTER (regime_label = 'regular') AS n_regular, median(mean) AS median_mean, quantile_cont(mean, 0.75) - quantile_cont(mean, 0.25) AS iqr_mean, median(cv) AS median_cv, median(autocorr_lag_7) AS median_autocorr_lag_7,
+  count(*) FILTER (degenerate_flag) AS n_degenerate, median(mean) AS mean_household_consumption_median, quantile_cont(mean, 0.25) AS mean_household_consumption_q25, quantile_cont(mean, 0.75) AS mean_household_consumption_q75, median(autocorr_lag_7) AS weekly_acf_median,
   (SELECT peak_month_eda FROM mode) AS peak_month_mode FROM diag""",
 )
 def a14(spark, d):
@@ -135,20 +135,20 @@ def a14(spark, d):
     "segment household_id",
     "",
     f"""{DIAGNOSTICS}, cuts AS (SELECT quantile_cont(mean, 0.9) AS a, quantile_cont(autocorr_lag_7, 0.9) AS b, quantile_cont(monthly_profile_std, 0.9) AS e FROM diag),
-g AS (SELECT regime_label AS segment, household_id FROM diag WHERE regime_label <> 'regular' UNION ALL SELECT 'high_level', household_id FROM diag, cuts WHERE mean >= a
-  UNION ALL SELECT 'weekly_pattern', household_id FROM diag, cuts WHERE autocorr_lag_7 >= b UNION ALL SELECT 'annual_variation', household_id FROM diag, cuts WHERE monthly_profile_std >= e)
+g AS (SELECT regime_label AS segment, household_id FROM diag WHERE regime_label <> 'regular' UNION ALL SELECT 'high_mean', household_id FROM diag, cuts WHERE mean >= a
+  UNION ALL SELECT 'high_weekly_structure', household_id FROM diag, cuts WHERE autocorr_lag_7 >= b UNION ALL SELECT 'high_annual_variation', household_id FROM diag, cuts WHERE monthly_profile_std >= e)
 SELECT segment, household_id FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY md5(household_id || '/42')) AS k FROM g) WHERE k <= 5""",
 )
 def a15(spark, d):
     return st.ranked_sample(st.household_diagnostics(ad.supplier_panel(spark, d, 1999)))
 
 
-@query("a16_norm_summary", "household_id", "z_range z_abs_diff_mean z_autocorr_lag_7", f"{c.ctes(B, NORM)} SELECT * FROM norm")
+@query("a16_norm_summary", "household_id", "normalized_range normalized_abs_diff_mean normalized_autocorr_lag_7", f"{c.ctes(B, NORM)} SELECT * FROM norm")
 def a16(spark, d):
     return st.norm_summary(_brand(spark, d))
 
 
-@query("a17_method_selection", DIAG_KEYS, DIAG + " z_range z_abs_diff_mean z_autocorr_lag_7", f"{DIAGNOSTICS},{NORM} SELECT * FROM diag LEFT JOIN norm USING (household_id)")
+@query("a17_method_selection", DIAG_KEYS, DIAG + " normalized_range normalized_abs_diff_mean normalized_autocorr_lag_7", f"{DIAGNOSTICS},{NORM} SELECT * FROM diag LEFT JOIN norm USING (household_id)")
 def a17(spark, d):
     return st.method_selection(ad.supplier_panel(spark, d, 1999))
 
@@ -167,7 +167,7 @@ def a18b(spark, d):
     "a18_weekend_contrast",
     "household_id",
     "weekday_mean weekend_mean weekend_ratio weekend_contrast",
-    f"""{c.ctes(B, c.weekdays('panel'))} SELECT *, weekend_mean / (weekday_mean + 1e-6) AS weekend_ratio, (weekend_mean - weekday_mean) / (weekend_mean + weekday_mean + 1e-6) AS weekend_contrast
+    f"""{c.ctes(B, c.weekdays('panel'))} SELECT *, weekend_mean / (weekday_mean + 1e-10) AS weekend_ratio, (weekend_mean - weekday_mean) / (weekend_mean + weekday_mean + 1e-6) AS weekend_contrast
 FROM (SELECT household_id, avg(d) FILTER (dow < 5) AS weekday_mean, avg(d) FILTER (dow >= 5) AS weekend_mean FROM dd GROUP BY 1)""",
 )
 def a18c(spark, d):
@@ -178,8 +178,9 @@ def a18c(spark, d):
     "a18_seasonal_groups",
     "segment n",
     "",
-    f"""{c.ctes(c.supplier(1999), SEASON)} SELECT CASE WHEN winter_summer_contrast > 0.1 THEN 'winter' WHEN winter_summer_contrast < -0.1 THEN 'summer' ELSE 'balanced' END AS segment, count(*) AS n
-FROM season WHERE winter_summer_contrast IS NOT NULL GROUP BY 1""",
+    f"""{c.ctes(c.supplier(1999), c.months('panel'))}, s AS (SELECT household_id, avg(m) FILTER (month IN (12, 1, 2)) AS w, avg(m) FILTER (month IN (6, 7, 8)) AS u FROM mm GROUP BY 1),
+t AS (SELECT (w - u) / nullif(w + u + 1e-6, 0) AS x FROM s)
+SELECT CASE WHEN x > 0.1 THEN 'winter_dominant' WHEN x < -0.1 THEN 'summer_dominant' ELSE 'balanced' END AS segment, count(*) AS n FROM t WHERE x IS NOT NULL GROUP BY 1""",
 )
 def a18d(spark, d):
     return st.seasonal_groups(ad.supplier_panel(spark, d, 1999))

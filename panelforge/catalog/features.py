@@ -229,3 +229,30 @@ def r10(spark, d):
 def r12(spark, d):
     kept = se.fit_selection(ft.ward_features(_brand(spark, d))).summary["kept_by_block"]
     return spark.createDataFrame(sorted(kept.items()), "block string, n_kept long")
+
+
+@query("f9_block_sizes", "block n", "", "SELECT * FROM (VALUES ('weekly', CAST(1 AS BIGINT)), ('shape_normalized', 25), ('persistence', 2), ('trend', 1)) AS t(block, n)")
+def f9(spark, d):
+    return spark.createDataFrame(ft.block_sizes(), "block string, n long")
+
+
+@query("r9_top_loadings", "component feature", "loading")
+def r9(spark, d):
+    fitted = se.fit_selection(ft.ward_features(_brand(spark, d)), use_pca=True)
+    return spark.createDataFrame(se.top_loadings(fitted.columns, fitted.components, 3), "component string, feature string, loading double")
+
+
+@query(
+    "r11_transformed_new_rows",
+    "household_id feature",
+    "value",
+    f"""{DIAG_CTE}, long AS (SELECT household_id, feature, x FROM clean UNPIVOT (x FOR feature IN (cv, std, a1, a7))),
+par AS (SELECT feature, avg(x) AS mu, stddev_pop(x) AS sd FROM long WHERE household_id % 2 = 0 GROUP BY 1 HAVING var_samp(x) > 1e-6)
+SELECT household_id, feature, (x - mu) / sd * CASE WHEN feature IN ('cv', 'std') THEN 0.7 ELSE 0.5 END / sqrt(2) AS value FROM long JOIN par USING (feature) WHERE household_id % 2 = 1""",
+)
+def r11(spark, d):
+    """Even ids fit, odd ids are brought through; gaps are filled beforehand, so that the fills are those of all rows."""
+    clean = se.sanitize(_diag(spark, d))
+    fitted = se.fit_selection(clean.filter("household_id % 2 = 0"), _BLOCKS, {"level_dispersion": 0.7, "persistence": 0.5}, {"cv", "std", "a1", "a7"})
+    done = fitted.transform(clean.filter("household_id % 2 = 1"))
+    return done.unpivot(["household_id"], se.feature_columns(done), "feature", "value")

@@ -21,12 +21,12 @@ ROLL_SQL = ", ".join(
     f"avg(consumption) OVER ({W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS rolling_mean_{w}, coalesce(stddev_samp(consumption) OVER ({W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING), 0) AS rolling_std_{w}" for w in fc.WINDOWS
 )
 CAL_SQL = """CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(weekofyear(date) AS INTEGER) AS week_of_year,
-  sin(2 * pi() * dayofyear(date) / 366) AS doy_sin, cos(2 * pi() * dayofyear(date) / 366) AS doy_cos, sin(2 * pi() * weekofyear(date) / 53) AS week_sin, cos(2 * pi() * weekofyear(date) / 53) AS week_cos"""
+  sin(2 * pi() * dayofyear(date) / 366) AS day_of_year_sin, cos(2 * pi() * dayofyear(date) / 366) AS day_of_year_cos, sin(2 * pi() * weekofyear(date) / 53) AS week_of_year_sin, cos(2 * pi() * weekofyear(date) / 53) AS week_of_year_cos"""
 CAL = "day_of_week month day_of_year is_weekend week_of_year"
 PRIORS = """known AS (SELECT * FROM panel JOIN labels USING (household_id)),
 dowp AS (SELECT cluster, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, avg(consumption) AS cluster_dow_mean FROM known GROUP BY 1, 2),
 monp AS (SELECT cluster, CAST(month(date) AS INTEGER) AS month, avg(consumption) AS cluster_month_mean FROM known GROUP BY 1, 2)"""
-FEATURES = f"""feats AS (SELECT *, household_mean - cluster_dow_mean AS household_minus_dow, household_mean - cluster_month_mean AS household_minus_month
+FEATURES = f"""feats AS (SELECT *, household_mean - cluster_dow_mean AS household_minus_cluster_dow_mean, household_mean - cluster_month_mean AS household_minus_cluster_month_mean
   FROM (SELECT *, avg(consumption) OVER (PARTITION BY household_id) AS household_mean, {LAG_SQL}, {ROLL_SQL}, {CAL_SQL} FROM panel) JOIN labels USING (household_id)
   LEFT JOIN dowp USING (cluster, day_of_week) LEFT JOIN monp USING (cluster, month))"""
 
@@ -66,7 +66,7 @@ def w34(spark, d):
     return fc.lag_features(_train(spark, d))
 
 
-@query("w5_w6_calendar", f"household_id date {CAL}", "doy_sin doy_cos week_sin week_cos", f"{c.ctes(TEST)} SELECT household_id, date, {CAL_SQL} FROM test")
+@query("w5_w6_calendar", f"household_id date {CAL}", "day_of_year_sin day_of_year_cos week_of_year_sin week_of_year_cos", f"{c.ctes(TEST)} SELECT household_id, date, {CAL_SQL} FROM test")
 def w56(spark, d):
     return fc.calendar_features(_test(spark, d))
 
@@ -138,7 +138,7 @@ def m3(spark, d):
     "m10_model_routing",
     "household_id cluster model_used",
     "",
-    f"{c.ctes(TRAIN, LABELS)} SELECT household_id, CASE WHEN cluster IN (0, 1) THEN cluster ELSE -99 END AS cluster, CASE WHEN cluster IN (0, 1) THEN 'cluster_model' ELSE 'global_fallback' END AS model_used FROM labels",
+    f"{c.ctes(TRAIN, LABELS)} SELECT household_id, CASE WHEN cluster IN (0, 1) THEN cluster ELSE -99 END AS cluster, CASE WHEN cluster IN (0, 1) THEN 'cluster_lgbm' ELSE 'global_fallback' END AS model_used FROM labels",
 )
 def m10(spark, d):
     return fc.routed(_labels(spark, d), [0], [1])
@@ -259,3 +259,27 @@ def m8(spark, d):
 def m14(spark, d):
     _, model = _model(spark, d)
     return spark.createDataFrame(fc.top_importances(model), "feature string, importance double")
+
+
+@query("m4_candidates", "candidate_id n_estimators num_leaves min_child_samples", "learning_rate", "SELECT * FROM (VALUES (0, 300, 31, 20, 0.05), (1, 500, 63, 20, 0.05), (2, 700, 63, 30, 0.03), (3, 500, 127, 40, 0.03)) AS t(candidate_id, n_estimators, num_leaves, min_child_samples, learning_rate)")
+def m4(spark, d):
+    rows = [(i, p["n_estimators"], p["num_leaves"], p["min_child_samples"], p["learning_rate"]) for i, p in enumerate(fc.candidates())]
+    return spark.createDataFrame(rows, "candidate_id int, n_estimators int, num_leaves int, min_child_samples int, learning_rate double")
+
+
+@query("m7_cluster_model_errors", "cluster n", "mae")
+def m7(spark, d):
+    rows = fc.training_rows(ad.brand_panel(spark, d, 1999), _brand_labels(spark, d)).cache()
+    parts = [fc.predicted(m, rows.filter(F.col("cluster") == k)) for k, m in fc.cluster_models(rows, _SMALL).items()]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("consumption") - F.col("predicted"))).alias("mae"))
+
+
+@query("m12_global_run_summary", "method n_households_evaluated n_households_complete", "average_household_mae median_household_mae")
+def m12(spark, d):
+    from panelforge.plans import forecasting as run
+
+    train, test = ad.brand_panel(spark, d, 1999), ad.brand_panel(spark, d, 2000)
+    return run.run_method(train, test, _brand_labels(spark, d), "global", grid=[_SMALL], n_splits=1).summary

@@ -52,6 +52,12 @@ def s5(spark, d):
     return pn.id_differences(items.filter("l_shipdate < timestamp'1995-02-01'"), items.filter("l_shipdate >= timestamp'2001-10-20'"))
 
 
+@query("s6_assignments", "household_id cluster", "", "SELECT CAST(s_suppkey AS BIGINT) AS household_id, CAST(s_suppkey % 4 AS INTEGER) AS cluster FROM supplier")
+def s6(spark, d):
+    text = ad.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("household_id"), F.concat((F.col("s_suppkey") % 4).cast("string"), F.lit(".0")).alias("cluster"))
+    return pn.parse_assignments(text)
+
+
 @query(
     "s7_label_intersection",
     "household_id cluster",

@@ -24,10 +24,17 @@ FEATURES = (
     *[f"lag_{k}" for k in LAGS],
     *[x for w in WINDOWS for x in (f"rolling_mean_{w}", f"rolling_std_{w}")],
     *("day_of_week", "month", "day_of_year", "is_weekend", "week_of_year"),
-    *("doy_sin", "doy_cos", "week_sin", "week_cos"),
-    *("household_mean", "cluster_dow_mean", "cluster_month_mean", "household_minus_dow", "household_minus_month"),
+    *("day_of_year_sin", "day_of_year_cos", "week_of_year_sin", "week_of_year_cos"),
+    *("household_mean", "cluster_dow_mean", "cluster_month_mean", "household_minus_cluster_dow_mean", "household_minus_cluster_month_mean"),
 )
 QUANTILES = (0.1, 0.5, 0.9)
+#: Trees, step, leaves and smallest leaf of the tuning candidates.
+GRID = (
+    (300, 0.05, 31, 20),
+    (500, 0.05, 63, 20),
+    (700, 0.03, 63, 30),
+    (500, 0.03, 127, 40),
+)
 def _series():
     return Window.partitionBy(ID).orderBy(DAY)
 
@@ -62,10 +69,10 @@ def calendar_features(panel: DataFrame) -> DataFrame:
             "day_of_year": day,
             "is_weekend": (F.weekday(DAY) >= 5).cast("int"),
             "week_of_year": week,
-            "doy_sin": F.sin(day * (2 * math.pi / 366)),
-            "doy_cos": F.cos(day * (2 * math.pi / 366)),
-            "week_sin": F.sin(week * (2 * math.pi / 53)),
-            "week_cos": F.cos(week * (2 * math.pi / 53)),
+            "day_of_year_sin": F.sin(day * (2 * math.pi / 366)),
+            "day_of_year_cos": F.cos(day * (2 * math.pi / 366)),
+            "week_of_year_sin": F.sin(week * (2 * math.pi / 53)),
+            "week_of_year_cos": F.cos(week * (2 * math.pi / 53)),
         }
     )
 
@@ -82,7 +89,7 @@ def build_features(panel: DataFrame, labels: DataFrame, priors: tuple[DataFrame,
         rows = rows.join(means, ID, "left")
     rows = rows.join(labels.select(ID, CLUSTER), ID, "left")
     rows = rows.join(F.broadcast(priors[0]), [CLUSTER, "day_of_week"], "left").join(F.broadcast(priors[1]), [CLUSTER, "month"], "left")
-    return rows.withColumns({"household_minus_dow": F.col("household_mean") - F.col("cluster_dow_mean"), "household_minus_month": F.col("household_mean") - F.col("cluster_month_mean")})
+    return rows.withColumns({"household_minus_cluster_dow_mean": F.col("household_mean") - F.col("cluster_dow_mean"), "household_minus_cluster_month_mean": F.col("household_mean") - F.col("cluster_month_mean")})
 
 
 def training_rows(panel: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,9 +105,8 @@ def point_params() -> dict:
 
 
 def candidates() -> list[dict]:
-    """The tuning grid around the point model."""
-    base = point_params()
-    return [base, base | {"n_estimators": 300, "num_leaves": 31}, base | {"n_estimators": 800, "learning_rate": 0.03}, base | {"num_leaves": 31, "min_child_samples": 50}]
+    """The tuning grid; shares of rows and features are those of the point model."""
+    return [point_params() | dict(zip(("n_estimators", "learning_rate", "num_leaves", "min_child_samples"), values)) for values in GRID]
 
 
 def backtest_splits(days: DataFrame, n_splits: int = 3, validation_days: int = 28, history: int = 30) -> DataFrame:
@@ -119,7 +125,7 @@ def _filled(rows: DataFrame) -> DataFrame:
     mean = F.coalesce("household_mean", F.lit(0.0))
     fills = {c: F.coalesce(F.col(c), mean) for c in ("cluster_dow_mean", "cluster_month_mean")}
     rows = rows.withColumns(fills)
-    rows = rows.withColumns({"household_minus_dow": mean - F.col("cluster_dow_mean"), "household_minus_month": mean - F.col("cluster_month_mean")})
+    rows = rows.withColumns({"household_minus_cluster_dow_mean": mean - F.col("cluster_dow_mean"), "household_minus_cluster_month_mean": mean - F.col("cluster_month_mean")})
     return rows.fillna(0.0, subset=[c for c in FEATURES if c not in fills])
 
 
@@ -262,7 +268,7 @@ def recursive_forecast(
         for c, part in frame.groupby(CLUSTER, sort=True):
             c = int(c)
             mapped = c in known
-            trees, used = (models.get(c, fallback), "cluster_model") if mapped else (fallback, "global_fallback")
+            trees, used = (models.get(c, fallback), "cluster_lgbm") if mapped else (fallback, "global_fallback")
             n = len(part)
             hist = np.full((n, 30 + days), np.nan)
             for i, tail in enumerate(part["tail"]):
@@ -300,7 +306,7 @@ def routed(labels: DataFrame, with_model: list[int], all_regular: list[int], glo
     """household_id, cluster, model_used: which model a household's label leads to."""
     c = F.col(CLUSTER)
     known = F.coalesce(c.isin(*with_model, *all_regular), F.lit(False))
-    used = F.lit("global_model") if global_run else F.when(known, "cluster_model").otherwise("global_fallback")
+    used = F.lit("global_lgbm") if global_run else F.when(known, "cluster_lgbm").otherwise("global_fallback")
     return labels.select(ID, F.when(known, c).otherwise(-99).cast("int").alias(CLUSTER), used.alias("model_used"))
 
 

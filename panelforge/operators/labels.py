@@ -51,27 +51,46 @@ def balance(labels: DataFrame) -> DataFrame:
     return sizes(labels).agg(F.try_divide(F.min("n_households"), F.max("n_households")).alias("cluster_balance"))
 
 
-def columns_by_family(columns: list[str]) -> dict[str, int]:
-    """How many of the columns each feature family gave."""
-    out: dict[str, int] = {}
-    for c in columns:
-        out[family(c)] = out.get(family(c), 0) + 1
-    return out
+#: Feature names by the kind of reading they stand for.
+RAW_LEVEL = ("mean", "std", "cv", "zero_pct")
+RAW_SUMMARY = ("weekend_weekday_contrast", "winter_summer_contrast", "seasonal_amplitude", "monthly_profile_std", "weekday_range")
+SHAPE_SUMMARY = ("norm_monthly_profile_std", "norm_monthly_profile_range", "norm_winter_summer_diff", "norm_weekend_weekday_diff")
+ENERGY_PROFILE = (
+    *("base_load_ratio", "seasonal_peak_ratio", "seasonal_range_ratio", "winter_share", "summer_share", "top3_month_share"),
+    *("monthly_entropy", "peak_month_sin", "peak_month_cos", "trough_month_sin", "trough_month_cos"),
+)
+PERSISTENCE_TREND = (
+    *("autocorr_lag_1", "autocorr_lag_7", "autocorr_lag_30", "rolling_std_7", "rolling_std_30"),
+    *("diff_mean", "diff_std", "abs_diff_mean", "diff_max", "diff_min"),
+    *("p95_to_median_ratio", "p99_to_median_ratio", "max_to_p95_ratio"),
+    *("winter_std_norm", "summer_std_norm", "winter_summer_volatility_ratio", "trend_slope", "trend_slope_normalized"),
+)
 
 
 def family(column: str) -> str:
-    """The feature family of a column, by its name."""
-    if column.startswith("norm_"):
-        return "shape_normalized"
-    if column.startswith("trend_"):
-        return "trend"
-    if column.startswith(("dow_", "weekday_", "weekend_")) or column == "autocorr_lag_7":
-        return "weekly"
-    if column in ("mean", "std", "cv", "zero_pct"):
-        return "level_dispersion"
-    if column.startswith(("autocorr_", "rolling_", "diff_", "abs_diff", "p95", "p99", "max_to", "winter_std", "summer_std", "winter_summer")):
-        return "persistence"
-    return "energy_profile"
+    """The family that reports name for a feature column: by prefix, then by list."""
+    prefixes = {"dow_": "raw_weekly_profile", "month_": "raw_monthly_profile", "norm_dow_": "normalized_weekly_shape", "norm_month_": "normalized_monthly_shape"}
+    lists = {"raw_level": RAW_LEVEL, "shape_summary": (*RAW_SUMMARY, *SHAPE_SUMMARY), "energy_profile": ENERGY_PROFILE, "persistence_trend": PERSISTENCE_TREND}
+    found = [f for p, f in prefixes.items() if column.startswith(p)] + [f for f, names in lists.items() if column in names]
+    return found[0] if found else "other"
+
+
+def columns_by_family(columns: list[str]) -> dict[str, int]:
+    """How many of the columns are raw levels, raw profiles, normalised shape, energy profile, persistence and trend, or other."""
+    groups = {
+        "raw_level": "raw_level_features",
+        "raw_weekly_profile": "raw_profile_features",
+        "raw_monthly_profile": "raw_profile_features",
+        "normalized_weekly_shape": "normalized_shape_features",
+        "normalized_monthly_shape": "normalized_shape_features",
+        "energy_profile": "energy_profile_features",
+        "persistence_trend": "persistence_trend_features",
+        "other": "other_features",
+    }
+    out = dict.fromkeys(groups.values(), 0)
+    for c in columns:
+        out["raw_profile_features" if c in RAW_SUMMARY else "normalized_shape_features" if c in SHAPE_SUMMARY else groups[family(c)]] += 1
+    return out
 
 
 def cluster_profiles(panel: DataFrame, labels: DataFrame) -> DataFrame:

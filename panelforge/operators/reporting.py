@@ -19,23 +19,34 @@ def attach(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def assignment_summary(labels: DataFrame) -> DataFrame:
-    """One row: households in all, in clusters, in special groups, unassigned; extremes of the cluster numbers."""
-    c = F.col(CLUSTER)
-    return labels.agg(
-        F.count("*").alias("n_total"),
-        F.count_if(c >= 0).alias("n_valid"),
-        F.count_if(c < 0).alias("n_special"),
-        F.count_if(c.isNull()).alias("n_unassigned"),
-        F.min(F.when(c >= 0, c)).alias("min_cluster"),
-        F.max(F.when(c >= 0, c)).alias("max_cluster"),
+    """One row: households in all, in clusters, in special groups, unassigned; clusters and their extreme sizes."""
+    each = labels.groupBy(CLUSTER).agg(F.count("*").alias("n"))
+    c, n = F.col(CLUSTER), F.col("n")
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    return each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_total_labels"),
+        count(c >= 0).alias("n_valid_labels"),
+        count(c < 0).alias("n_special_regime_labels"),
+        F.count_if(c >= 0).alias("n_regular_clusters_found"),
+        count(c.isNull()).alias("n_unassigned_households"),
+        F.min(F.when(c >= 0, n)).alias("min_cluster_size"),
+        F.max(F.when(c >= 0, n)).alias("max_cluster_size"),
     )
 
 
 def special_summary(labels: DataFrame) -> DataFrame:
-    """cluster, n, pct_of_all, pct_of_assigned of the special groups."""
-    one = labels.agg(F.count("*").alias("_all"), F.count(CLUSTER).alias("_assigned"))
-    counts = labels.filter("cluster < 0").groupBy(CLUSTER).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(one)).select(CLUSTER, "n", (100.0 * F.col("n") / F.col("_all")).alias("pct_of_all"), (100.0 * F.col("n") / F.col("_assigned")).alias("pct_of_assigned"))
+    """One row: special households, their share of all rows and of the assigned ones."""
+    special = F.count_if(F.col(CLUSTER) < 0)
+    return labels.agg(
+        special.alias("n_special_regime_households"),
+        F.coalesce(F.try_divide(100.0 * special, F.count("*")), F.lit(0.0)).alias("pct_special_regime_households_all_rows"),
+        F.coalesce(F.try_divide(100.0 * special, F.count(CLUSTER)), F.lit(0.0)).alias("pct_special_regime_households_assigned_only"),
+    )
+
+
+def special_counts(labels: DataFrame) -> DataFrame:
+    """cluster, n of the special groups."""
+    return labels.filter("cluster < 0").groupBy(CLUSTER).agg(F.count("*").alias("n"))
 
 
 def special_ids(labels: DataFrame, n: int = 20) -> DataFrame:
@@ -45,8 +56,8 @@ def special_ids(labels: DataFrame, n: int = 20) -> DataFrame:
 
 def level_dominance(panel: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean and deviation over days of each cluster's raw and standardised profile."""
-    raw = cluster_profiles(panel, labels).groupBy(CLUSTER).agg(F.avg("mean").alias("raw_mean"), F.stddev_samp("mean").alias("raw_std"))
-    z = cluster_profiles(z_rows(panel), labels).groupBy(CLUSTER).agg(F.avg("mean").alias("z_mean"), F.stddev_samp("mean").alias("z_std"))
+    raw = cluster_profiles(panel, labels).groupBy(CLUSTER).agg(F.avg("mean").alias("cluster_raw_profile_mean"), F.stddev_samp("mean").alias("cluster_raw_profile_std"))
+    z = cluster_profiles(z_rows(panel), labels).groupBy(CLUSTER).agg(F.avg("mean").alias("cluster_normalized_profile_mean"), F.stddev_samp("mean").alias("cluster_normalized_profile_std"))
     return raw.join(z, CLUSTER)
 
 
@@ -73,7 +84,7 @@ def monthly_profiles(panel: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def distinctive_features(features: DataFrame, labels: DataFrame, n: int = 5) -> DataFrame:
-    """cluster, feature, family, standardized_difference: the n features in which a cluster differs most from all."""
+    """cluster, rank, feature, feature_family, means and standardized_difference: the n features in which a cluster differs most from all."""
     columns = [c for c in features.columns if c != ID]
     known = attach(features, labels.filter("cluster >= 0")).unpivot([ID, CLUSTER], columns, "feature", "x")
     whole = known.groupBy("feature").agg(F.avg("x").alias("mu"), F.stddev_samp("x").alias("sd"))
@@ -82,7 +93,7 @@ def distinctive_features(features: DataFrame, labels: DataFrame, n: int = 5) ->
     names = {c: family(c) for c in columns}
     tag = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("feature")]
     order = Window.partitionBy(CLUSTER).orderBy(F.desc_nulls_last(F.round(F.abs("standardized_difference"), 9)), "feature")
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(CLUSTER, "rank", "feature", tag.alias("family"), "standardized_difference")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(CLUSTER, "rank", "feature", tag.alias("feature_family"), F.col("m").alias("cluster_mean"), F.col("mu").alias("overall_mean"), "standardized_difference")
 
 
 def representatives(panel: DataFrame, labels: DataFrame, n: int = 3, normalised: bool = False) -> DataFrame:
@@ -96,14 +107,14 @@ def representatives(panel: DataFrame, labels: DataFrame, n: int = 3, normalised:
 
 
 def meaningfulness(panel: DataFrame, labels: DataFrame, threshold: float = LEVEL_WARNING) -> DataFrame:
-    """One row: spread of the cluster levels, mean distance of standardised profiles, their ratio and a warning."""
+    """One row: spread of the cluster levels, mean distance of standardised profiles, their ratio and a warning; null for one cluster."""
     level = household_means(panel, labels).agg((F.max("mean") - F.min("mean")).alias("cluster_mean_spread"))
     z = cluster_profiles(z_rows(panel), labels)
     other = z.select(F.col(CLUSTER).alias("o"), DAY, F.col("mean").alias("om"))
     pairs = z.join(other, DAY).filter(F.col(CLUSTER) < F.col("o")).groupBy(CLUSTER, "o").agg(F.sqrt(F.sum(F.pow(F.col("mean") - F.col("om"), 2))).alias("d"))
     one = level.crossJoin(pairs.agg(F.avg("d").alias("normalized_shape_separation")))
     ratio = F.col("cluster_mean_spread") / (F.col("normalized_shape_separation") + 1e-6)
-    return one.withColumn("level_to_shape_ratio", ratio).withColumn("level_dominance_warning", F.coalesce(ratio > threshold, F.lit(False)))
+    return one.withColumn("level_to_shape_ratio", ratio).withColumn("level_dominance_warning", ratio > threshold)
 
 
 def assignment_table(labels: DataFrame) -> DataFrame:
@@ -121,6 +132,7 @@ def report(panel: DataFrame, labels: DataFrame, features: DataFrame | None = Non
         "sizes": sizes(labels),
         "assignment": assignment_summary(labels),
         "special": special_summary(labels),
+        "special_counts": special_counts(labels),
         "profiles": cluster_profiles(panel, labels),
         "level_dominance": level_dominance(panel, labels),
         "household_means": household_means(panel, labels),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.functions.maths import CONSTANT, SUMMER, WINTER, array_std, safe_corr
+from panelforge.functions.maths import CONSTANT, SUMMER, WINTER, array_mean, array_std, safe_corr
 from panelforge.operators.cleaning import DAY, ID, V, regime_flags, z_rows
 
 DAYS_OF_WEEK = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
@@ -55,7 +55,7 @@ def outliers(stats: DataFrame, method: str = "iqr", threshold: float = 3.0) -> D
     elif method == "zscore":
         one = stats.agg(F.avg(m).alias("mu"), F.stddev_pop(m).alias("sd"), F.median(m).alias("mid"))
         z = F.when(F.col("sd") < 1e-12, 0.0).otherwise((m - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0)))
-        side = F.when(F.abs(z) > threshold, F.when(m > F.col("mid"), "high").otherwise("low"))
+        side = F.when(F.abs(z) > threshold, F.when(m > F.col("mid"), "high").when(m < F.col("mid"), "low"))
     else:
         raise ValueError(f"unknown method {method!r}")
     return stats.crossJoin(F.broadcast(one)).select(ID, "mean", side.alias("side")).filter("side is not null")
@@ -184,23 +184,24 @@ def household_diagnostics(panel: DataFrame, **thresholds: float) -> DataFrame:
 def categories(stats: DataFrame, zero_pct: float = 75.0) -> DataFrame:
     """household_id, category: by zero days, then variation over its upper quartile, then level by thirds."""
     one = stats.agg(F.percentile("cv", 0.75).alias("cv75"), F.percentile("mean", 0.33).alias("m33"), F.percentile("mean", 0.67).alias("m67"))
-    level = F.when(F.col("mean") >= F.col("m67"), "High").when(F.col("mean") <= F.col("m33"), "Low").otherwise("Medium")
+    level = F.when(F.col("mean") > F.col("m67"), "High").when(F.col("mean") < F.col("m33"), "Low").otherwise("Medium")
     kind = F.when(F.col("cv") > F.col("cv75"), "Variable").otherwise("Stable")
     name = F.when(F.col("mean").isNull() | F.col("cv").isNull(), "Unclassified").when(F.col("zero_pct") >= zero_pct, "Intermittent/Vacant").otherwise(F.concat_ws(" ", level, kind))
     return stats.crossJoin(F.broadcast(one)).select(ID, name.alias("category"))
 
 
 def phase1_summary(diagnostics: DataFrame) -> DataFrame:
-    """One row: households by regime, medians and quartiles of the main diagnostics, commonest peak month."""
+    """One row: households by regime, median and quartiles of the level, median weekly autocorrelation, commonest peak month."""
     modes = diagnostics.filter("peak_month_eda is not null").groupBy("peak_month_eda").count().agg(F.min_by("peak_month_eda", F.struct(-F.col("count"), F.col("peak_month_eda"))).alias("peak_month_mode"))
-    regimes = ["all_zero", "near_constant", "zero_heavy", "regular"]
+    regimes = ["all_zero", "near_constant", "zero_heavy"]
     one = diagnostics.agg(
         F.count("*").alias("n_households"),
+        F.count_if("degenerate_flag").alias("n_degenerate"),
         *[F.count_if(F.col("regime_label") == r).alias(f"n_{r}") for r in regimes],
-        F.median("mean").alias("median_mean"),
-        (F.percentile("mean", 0.75) - F.percentile("mean", 0.25)).alias("iqr_mean"),
-        F.median("cv").alias("median_cv"),
-        F.median("autocorr_lag_7").alias("median_autocorr_lag_7"),
+        F.median("mean").alias("mean_household_consumption_median"),
+        F.percentile("mean", 0.25).alias("mean_household_consumption_q25"),
+        F.percentile("mean", 0.75).alias("mean_household_consumption_q75"),
+        F.median("autocorr_lag_7").alias("weekly_acf_median"),
     )
     return one.crossJoin(F.broadcast(modes))
 
@@ -209,9 +210,9 @@ def norm_summary(panel: DataFrame) -> DataFrame:
     """Range, mean absolute step and lag-7 autocorrelation of the standardised series."""
     z = lagged(z_rows(panel), 1, 7)
     return z.groupBy(ID).agg(
-        (F.max(V) - F.min(V)).alias("z_range"),
-        F.avg(F.abs(F.col(V) - F.col("lag_1"))).alias("z_abs_diff_mean"),
-        safe_corr(F.col("lag_7"), F.col(V)).alias("z_autocorr_lag_7"),
+        (F.max(V) - F.min(V)).alias("normalized_range"),
+        F.avg(F.abs(F.col(V) - F.col("lag_1"))).alias("normalized_abs_diff_mean"),
+        safe_corr(F.col("lag_7"), F.col(V)).alias("normalized_autocorr_lag_7"),
     )
 
 
@@ -225,7 +226,7 @@ def ranked_sample(diagnostics: DataFrame, n_per_group: int = 5, seed: int = 42)
 
     Drawn by the order of a digest of id and seed, so the draw repeats.
     """
-    top = {"high_level": "mean", "weekly_pattern": "autocorr_lag_7", "annual_variation": "monthly_profile_std"}
+    top = {"high_mean": "mean", "high_weekly_structure": "autocorr_lag_7", "high_annual_variation": "monthly_profile_std"}
     cuts = diagnostics.agg(*[F.percentile(c, 0.9).alias(f"_{g}") for g, c in top.items()])
     groups = [F.when(F.col("regime_label") == r, r) for r in ("all_zero", "near_constant", "zero_heavy")]
     groups += [F.when(F.col(c) >= F.col(f"_{g}"), g) for g, c in top.items()]
@@ -246,15 +247,18 @@ def weekend_contrast(panel: DataFrame) -> DataFrame:
     wd = sum((F.col(f"dow_{d}") for d in DAYS_OF_WEEK[:5]), F.lit(0.0)) / 5
     we = (F.col("dow_Sat") + F.col("dow_Sun")) / 2
     return m.select(ID, wd.alias("weekday_mean"), we.alias("weekend_mean")).select(
-        "*", (F.col("weekend_mean") / (F.col("weekday_mean") + 1e-6)).alias("weekend_ratio"), ((F.col("weekend_mean") - F.col("weekday_mean")) / (F.col("weekend_mean") + F.col("weekday_mean") + 1e-6)).alias("weekend_contrast")
+        "*", (F.col("weekend_mean") / (F.col("weekday_mean") + 1e-10)).alias("weekend_ratio"), ((F.col("weekend_mean") - F.col("weekday_mean")) / (F.col("weekend_mean") + F.col("weekday_mean") + 1e-6)).alias("weekend_contrast")
     )
 
 
 def seasonal_groups(panel: DataFrame, band: float = 0.10) -> DataFrame:
-    """segment, n: households with a winter peak, a summer peak, or neither by more than `band`."""
-    c = F.col("winter_summer_contrast")
-    group = F.when(c > band, "winter").when(c < -band, "summer").otherwise("balanced")
-    return seasonal_contrast(panel).filter(c.isNotNull()).groupBy(group.alias("segment")).agg(F.count("*").alias("n"))
+    """segment, n: households with a winter peak, a summer peak, or neither by more than `band`, from month means."""
+    m = {n: F.col(f"month_{n}") for n in MONTHS}
+    winter, summer = array_mean(F.array(m["Dec"], m["Jan"], m["Feb"])), array_mean(F.array(m["Jun"], m["Jul"], m["Aug"]))
+    c = F.col("contrast")
+    group = F.when(c > band, "winter_dominant").when(c < -band, "summer_dominant").otherwise("balanced")
+    each = month_means(panel).select(ID, ((winter - summer) / F.nullif(winter + summer + 1e-6, F.lit(0.0))).alias("contrast"))
+    return each.filter(c.isNotNull()).groupBy(group.alias("segment")).agg(F.count("*").alias("n"))
 
 
 def describe(rows: DataFrame, column: str) -> DataFrame:

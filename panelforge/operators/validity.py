@@ -128,7 +128,7 @@ SCORES = (("silhouette", True), ("davies_bouldin", False), ("calinski_harabasz",
 
 
 def rank_k(evaluation: DataFrame, min_size: int = MIN_CLUSTER_SIZE) -> DataFrame:
-    """The evaluation rows with n_scores and composite_score, best first.
+    """The evaluation rows with n_available_components and composite_score, best first.
 
     The mean of the min-max scores at hand, less penalties for small
     clusters, single members, imbalance, dominance of the level and fewer than
@@ -138,27 +138,27 @@ def rank_k(evaluation: DataFrame, min_size: int = MIN_CLUSTER_SIZE) -> DataFrame
     n = reduce(lambda a, b: a + b, [p.isNotNull().cast("int") for p in parts])
     total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
     penalty = lambda cond, x: F.when(F.coalesce(cond, F.lit(False)), x).otherwise(0.0)
-    scored = evaluation.withColumns({"n_scores": n, "_mean": F.when(n > 0, total / n)})
+    scored = evaluation.withColumns({"n_available_components": n, "_mean": F.when(n > 0, total / n)})
     score = (
         F.col("_mean")
         - penalty(F.col("smallest_cluster") < min_size, 0.25)
         - penalty(F.col("smallest_cluster") <= 1, 0.35)
         - penalty(F.col("cluster_balance") < 0.10, 0.25)
         - penalty(F.col("level_dominance_warning"), 0.20)
-        - penalty(F.col("n_scores") < 3, 0.15)
+        - penalty(F.col("n_available_components") < 3, 0.15)
     )
-    return scored.withColumn("composite_score", score).drop("_mean").orderBy(F.desc_nulls_last("composite_score"), F.desc("n_scores"), "k")
+    return scored.withColumn("composite_score", score).drop("_mean").orderBy(F.desc_nulls_last("composite_score"), F.desc("n_available_components"), "k")
 
 
 def shortlist(ranked: DataFrame, min_size: int = MIN_CLUSTER_SIZE, min_balance: float = 0.20) -> DataFrame:
     """Rows with large enough, balanced clusters of the wanted number, best first."""
     fine = (F.col("smallest_cluster") >= min_size) & (F.col("cluster_balance") >= min_balance) & (F.col("n_clusters_found") == F.col("k"))
-    return ranked.filter(fine).orderBy(F.desc_nulls_last("composite_score"), F.desc("n_scores"), "k")
+    return ranked.filter(fine).orderBy(F.desc_nulls_last("composite_score"), F.desc("n_available_components"), "k")
 
 
 def best_k(ranked: DataFrame) -> tuple[int, list[str]]:
     """The best row's k and warnings about its balance; raises if there is none."""
-    row = ranked.orderBy(F.desc_nulls_last("composite_score"), F.desc("n_scores"), "k").limit(1).collect()
+    row = ranked.orderBy(F.desc_nulls_last("composite_score"), F.desc("n_available_components"), "k").limit(1).collect()
     if not row:
         raise ValueError("no candidate is left")
     balance = row[0]["cluster_balance"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.operators import features, kshape, labels, reporting, selection, validity, ward
-from panelforge.operators.cleaning import ID, excluded, z_rows
+from panelforge.operators.cleaning import ID, z_rows
 from panelforge.plans.preparation import Prepared, for_features
 
 METHODS = ("feature_ward", "kshape")
@@ -55,7 +55,7 @@ def feature_input(panel: DataFrame, exact: int = ward.EXACT, **options) -> Featu
 
 
 def _with_special(regular: DataFrame, prepared: Prepared) -> DataFrame:
-    return labels.all_labels(regular, labels.special_labels(prepared.flags, excluded(prepared.flags)))
+    return labels.all_labels(regular, labels.special_labels(prepared.flags, prepared.excluded.select(ID).distinct()))
 
 
 def feature_ward(given: FeatureInput, k: int) -> Clustering:

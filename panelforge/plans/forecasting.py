@@ -61,7 +61,7 @@ def run_method(
     trees = {c: forecast.export_trees(m) for c, m in models.items()}
     out = forecast.recursive_forecast(train, labels, trees, forecast.export_trees(fallback), days["a"].isoformat(), steps)
     if method == "global":
-        out = out.withColumn("model_used", F.lit("global_model"))
+        out = out.withColumn("model_used", F.lit("global_lgbm"))
     errors = forecast.household_mae(out, test, steps)
     return Run(method, out, errors, forecast.evaluation_summary(errors, method, steps), comparison.backtest_union(*tables), {**models, "global": fallback})
 

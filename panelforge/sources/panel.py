@@ -132,7 +132,11 @@ def require_same_ids(train: DataFrame, test: DataFrame) -> None:
 
 def read_assignments(spark: SparkSession, path: str) -> DataFrame:
     """household_id, cluster from a hand-off CSV; raises on ids or labels that are missing, not integers or negative."""
-    raw = spark.read.option("header", True).csv(path)
+    return parse_assignments(spark.read.option("header", True).csv(path))
+
+
+def parse_assignments(raw: DataFrame) -> DataFrame:
+    """The labels that a table of strings holds, checked as `read_assignments` says."""
     if {"household_id", "cluster"} - set(raw.columns):
         raise PanelError("the hand-off needs the columns household_id and cluster")
     rows = raw.select(F.expr("try_cast(household_id as long)").alias("household_id"), F.expr("cast(try_cast(cluster as double) as int)").alias("cluster"))

@@ -143,6 +143,7 @@ def test_clustering_end_to_end(spark):
     given = clustering.feature_input(p)
     result = clustering.feature_ward(given, 2)
     assert Counter(r["cluster"] for r in result.labels.collect()) == {0: 6, 1: 6, -1: 2}
+    assert result.labels.select("household_id").distinct().count() == 14
     row = clustering.evaluate(result, min_size=3).first()
     assert row["n_clusters_found"] == 2 and row["cluster_balance"] == 1.0 and row["silhouette"] > 0.3
     done = {r["household_id"]: r["cluster"] for r in clustering.handoff(result, keep_from=5)["table"].collect()}

@@ -78,7 +78,7 @@ def test_short_and_unknown_households(spark):
     trees = fc.export_trees(fc.fit_trees(fc.training_rows(train, labels), TINY))
     rows = fc.recursive_forecast(train, labels, {0: trees}, trees, "2023-03-02", 3).collect()
     by = {r["household_id"]: r for r in rows}
-    assert by[8]["cluster"] == -99 and by[8]["model_used"] == "global_fallback" and by[7]["model_used"] == "cluster_model"
+    assert by[8]["cluster"] == -99 and by[8]["model_used"] == "global_fallback" and by[7]["model_used"] == "cluster_lgbm"
     assert all(math.isfinite(r["predicted"]) for r in rows) and len(rows) == 12
 
 
