@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -15,48 +16,64 @@ from pyspark.sql.window import Window
 
 from panelforge.llm.common import batch_of, cut, decoded, map_rows, partitions, per_process, text_rows
 
-#: Cached pre-tokens of a worker before the cache starts anew.
-CACHE_ENTRIES = 300_000
-
 #: Byte-level pre-tokens: contractions, runs of letters, digits or others with a leading space, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Texts with other characters are encoded by the library as a whole.
-_PLAIN = regex.compile(r"[^\t-\r\x20-\x7e\xa0-˿]")
+#: Texts with other characters are encoded by the library as a whole, as are those with very long runs of one kind.
+_ODD = regex.compile(r"[^\t-\r\x20-\x7e\xa0-˿]")
+LONG_RUN = 5000
 
 
-class _Ids(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit bytes, kept."""
+def _plain(text: str) -> bool:
+    if _ODD.search(text):
+        return False
+    words = [len(w) for w in text.split()]
+    return len(text) - sum(words) - len(words) < LONG_RUN and max(words, default=0) < LONG_RUN
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def __missing__(self, pre_token: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(pre_token, add_special_tokens=False).ids, "<u4").tobytes()
-        self[pre_token] = ids
-        return ids
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Token bytes to id of a byte-level file, or None unless ids rank its merges.
+
+    Where every merge makes the token whose id follows in order, merging by
+    the smallest id of the joined token is merging by the file's list.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"]
+    hidden = [*range(33), *range(127, 161), 173]
+    shown = {chr(256 + hidden.index(b)) if b in hidden else chr(b): b for b in range(256)}
+    if pre != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"] or model["end_of_word_suffix"] or model["ignore_merges"]:
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [model["vocab"].get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))):
+        return None
+    return {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
 
 
 class Encoder:
-    """Encodes texts to packed ids exactly as the library, with pre-tokens kept."""
+    """Encodes texts to little-endian 32-bit ids as the library of the file does.
+
+    Plain texts go through an encoder that merges by rank, several times as
+    fast and with the same outcome; all others, and texts with special
+    strings, through the library itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids, self.find = _Ids(self.tokenizer), regex.compile(PATTERN).findall
+        ranks = ranks_of(path)
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if _PLAIN.search(text) or any(s in text for s in self.special):
+        if not self.fast or not _plain(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.ids) > CACHE_ENTRIES:
-            self.ids.clear()
-        return b"".join(map(self.ids.__getitem__, self.find(text)))
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
