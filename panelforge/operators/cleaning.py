@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.maths import CONSTANT
+from panelforge.operators.blocks import DAY, ID, V, Block, compute
 from panelforge.sources.panel import PanelError
 
-ID, DAY, V = "household_id", "date", "consumption"
 ZERO_HEAVY_PCT, NEAR_CONSTANT_STD = 75.0, 0.10
 LABELS = {"all_zero": -1, "near_constant": -2, "zero_heavy": -3, "other": -99}
 
@@ -114,33 +114,30 @@ def cleaning_summary(original: DataFrame, cleaned: DataFrame) -> DataFrame:
     return each.agg(*counts)
 
 
+def regime_block(zero_heavy_pct: float = ZERO_HEAVY_PCT, near_constant_std: float = NEAR_CONSTANT_STD) -> Block:
+    """Deviation, zero days and regime as a block."""
+
+    def aggregates():
+        v = F.col(V)
+        return {"_mass": F.coalesce(F.sum(F.abs(v)), F.lit(0.0)), "_std": F.stddev_samp(v), "_zero_days": F.count_if(v == 0), "_zero_pct": 100.0 * F.count_if(v == 0) / F.count("*")}
+
+    def outputs():
+        all_zero = F.col("_mass") <= 1e-12
+        constant = ~all_zero & F.coalesce(F.col("_std") <= near_constant_std, F.lit(False))
+        heavy = ~all_zero & ~constant & (F.col("_zero_pct") >= zero_heavy_pct)
+        label = F.when(all_zero, "all_zero").when(constant, "near_constant").when(heavy, "zero_heavy").otherwise("regular")
+        flags = {"all_zero_flag": all_zero, "near_constant_flag": constant, "zero_heavy_flag": heavy, "regime_label": label, "degenerate_flag": label != "regular"}
+        return flags | {n: F.col(f"_{n}") for n in ("std", "zero_days", "zero_pct")}
+
+    return Block(aggregates, outputs)
+
+
 def regime_flags(panel: DataFrame, zero_heavy_pct: float = ZERO_HEAVY_PCT, near_constant_std: float = NEAR_CONSTANT_STD) -> DataFrame:
     """Deviation, zero days and the regime of each household: all zero, nearly constant, mostly zero or regular.
 
     The share of zero days counts all calendar days, missing ones included.
     """
-    v = F.col(V)
-    each = panel.groupBy(ID).agg(
-        F.coalesce(F.sum(F.abs(v)), F.lit(0.0)).alias("_mass"),
-        F.stddev_samp(v).alias("std"),
-        F.count_if(v == 0).alias("zero_days"),
-        (100.0 * F.count_if(v == 0) / F.count("*")).alias("zero_pct"),
-    )
-    all_zero = F.col("_mass") <= 1e-12
-    constant = ~all_zero & F.coalesce(F.col("std") <= near_constant_std, F.lit(False))
-    heavy = ~all_zero & ~constant & (F.col("zero_pct") >= zero_heavy_pct)
-    label = F.when(all_zero, "all_zero").when(constant, "near_constant").when(heavy, "zero_heavy").otherwise("regular")
-    return each.select(
-        ID,
-        all_zero.alias("all_zero_flag"),
-        constant.alias("near_constant_flag"),
-        heavy.alias("zero_heavy_flag"),
-        label.alias("regime_label"),
-        (label != "regular").alias("degenerate_flag"),
-        "std",
-        "zero_days",
-        "zero_pct",
-    )
+    return compute(panel, regime_block(zero_heavy_pct, near_constant_std))
 
 
 def excluded(flags: DataFrame, exclude_zero_heavy: bool = True) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.maths import array_mean
-from panelforge.operators.cleaning import DAY, ID, LABELS, V, z_rows
-from panelforge.operators.stats import DAYS_OF_WEEK, MONTHS, month_means, weekday_means
+from panelforge.operators.blocks import DAY, DAYS_OF_WEEK, ID, MONTHS, V
+from panelforge.operators.cleaning import LABELS, z_rows
+from panelforge.operators.stats import month_means, weekday_means
 from panelforge.sources.panel import PanelError
 
 CLUSTER = "cluster"

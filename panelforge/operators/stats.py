@@ -10,12 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.maths import CONSTANT, SUMMER, WINTER, array_mean, array_std, safe_corr
-from panelforge.operators.cleaning import DAY, ID, V, regime_flags, z_rows
+from panelforge.operators.blocks import DAY, DAYS_OF_WEEK, ID, MONTHS, V, Z, Block, compute, month_aggregates, month_columns, weekday_aggregates, weekday_columns
+from panelforge.operators.cleaning import regime_block
 
-DAYS_OF_WEEK = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-def _series():
-    return Window.partitionBy(ID).orderBy(DAY)
+def _statistics() -> dict[str, Column]:
+    v = F.col(V)
+    return {
+        "_mean": F.avg(v),
+        "_median": F.median(v),
+        "_std": F.stddev_samp(v),
+        "_min": F.min(v),
+        "_max": F.max(v),
+        "_q25": F.percentile(v, 0.25),
+        "_q75": F.percentile(v, 0.75),
+        "_skew": F.skewness(v),
+        "_kurtosis": F.kurtosis(v),
+        "_zero_days": F.count_if(v == 0),
+        "_zero_pct": 100.0 * F.count_if(v == 0) / F.count("*"),
+    }
+
+
+def _statistic_outputs() -> dict[str, Column]:
+    out = {n[1:]: F.col(n) for n in _statistics()}
+    return out | {"range": F.col("_max") - F.col("_min"), "cv": F.when(F.abs("_mean") >= 1e-8, F.col("_std") / F.abs("_mean"))}
+
+
+STATISTICS = Block(_statistics, _statistic_outputs)
 
 
 def household_statistics(panel: DataFrame) -> DataFrame:
@@ -24,21 +44,7 @@ def household_statistics(panel: DataFrame) -> DataFrame:
     skew and kurtosis are the population moments (excess kurtosis), null in
     constant series; cv is null for means around 0.
     """
-    v = F.col(V)
-    each = panel.groupBy(ID).agg(
-        F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.percentile(v, 0.25).alias("q25"),
-        F.percentile(v, 0.75).alias("q75"),
-        F.skewness(v).alias("skew"),
-        F.kurtosis(v).alias("kurtosis"),
-        F.count_if(v == 0).alias("zero_days"),
-        (100.0 * F.count_if(v == 0) / F.count("*")).alias("zero_pct"),
-    )
-    return each.withColumn("range", F.col("max") - F.col("min")).withColumn("cv", F.when(F.abs("mean") >= 1e-8, F.col("std") / F.abs("mean")))
+    return compute(panel, STATISTICS)
 
 
 def outliers(stats: DataFrame, method: str = "iqr", threshold: float = 3.0) -> DataFrame:
@@ -61,41 +67,53 @@ def outliers(stats: DataFrame, method: str = "iqr", threshold: float = 3.0) -> D
     return stats.crossJoin(F.broadcast(one)).select(ID, "mean", side.alias("side")).filter("side is not null")
 
 
+WEEKDAYS = Block(weekday_aggregates, lambda: dict(zip((f"dow_{n}" for n in DAYS_OF_WEEK), weekday_columns())))
+MONTH_MEANS = Block(month_aggregates, lambda: dict(zip((f"month_{n}" for n in MONTHS), month_columns())))
+
+
 def weekday_means(panel: DataFrame) -> DataFrame:
     """Mean by day of the week, Monday first, in one aggregate."""
-    return panel.groupBy(ID).agg(*[F.avg(F.when(F.weekday(DAY) == i, F.col(V))).alias(f"dow_{n}") for i, n in enumerate(DAYS_OF_WEEK)])
+    return compute(panel, WEEKDAYS)
 
 
 def month_means(panel: DataFrame) -> DataFrame:
     """Mean by month; null for absent months."""
-    return panel.groupBy(ID).agg(*[F.avg(F.when(F.month(DAY) == i + 1, F.col(V))).alias(f"month_{n}") for i, n in enumerate(MONTHS)])
+    return compute(panel, MONTH_MEANS)
 
 
-def lagged(panel: DataFrame, *lags: int) -> DataFrame:
-    """The panel with `lag_k` columns, all from one window."""
-    return panel.select("*", *[F.lag(V, k).over(_series()).alias(f"lag_{k}") for k in lags])
+def autocorrelation_block(*lags: int) -> Block:
+    names = [f"autocorr_lag_{k}" for k in lags]
+    return Block(
+        lambda: {f"_{n}": safe_corr(F.col(f"lag_{k}"), F.col(V)) for n, k in zip(names, lags)}, lambda: {n: F.col(f"_{n}") for n in names}, tuple(f"lag_{k}" for k in lags)
+    )
 
 
 def autocorrelations(panel: DataFrame, lags: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
     """Correlation of each series with itself `k` days later; null if too short or constant."""
-    return lagged(panel, *lags).groupBy(ID).agg(*[safe_corr(F.col(f"lag_{k}"), F.col(V)).alias(f"autocorr_lag_{k}") for k in lags])
+    return compute(panel, autocorrelation_block(*lags))
 
 
-def with_position(panel: DataFrame) -> DataFrame:
-    """The panel with `t`, the day's number from 0 in its household."""
-    return panel.withColumn("t", (F.row_number().over(_series()) - 1).cast("double"))
+def _trend_aggregates() -> dict[str, Column]:
+    v, t = F.col(V), F.col("t")
+    return {"_pop": F.stddev_pop(v), "_slope": F.regr_slope(v, t), "_r2": F.regr_r2(v, t), "_n": F.count(v)}
+
+
+def _trend_outputs() -> dict[str, Column]:
+    constant = F.col("_pop") < CONSTANT
+    return {
+        "trend_slope": F.when(constant, 0.0).otherwise(F.col("_slope")),
+        "trend_slope_normalized": F.when(constant, 0.0).otherwise(F.col("_slope") / (F.col("_pop") + CONSTANT)),
+        "r_squared": F.when(constant, 0.0).otherwise(F.col("_r2")),
+        "n": F.col("_n"),
+    }
+
+
+TREND = Block(_trend_aggregates, _trend_outputs, ("t",))
 
 
 def trends(panel: DataFrame) -> DataFrame:
     """Slope, slope of the standardised series and its r squared; all 0 in constant series."""
-    v, t = F.col(V), F.col("t")
-    constant = F.stddev_pop(v) < CONSTANT
-    return with_position(panel).groupBy(ID).agg(
-        F.when(constant, 0.0).otherwise(F.regr_slope(v, t)).alias("trend_slope"),
-        F.when(constant, 0.0).otherwise(F.regr_slope(v, t) / (F.stddev_pop(v) + CONSTANT)).alias("trend_slope_normalized"),
-        F.when(constant, 0.0).otherwise(F.regr_r2(v, t)).alias("r_squared"),
-        F.count(v).alias("n"),
-    )
+    return compute(panel, TREND)
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
@@ -138,47 +156,56 @@ def trend_p_values(trend: DataFrame) -> DataFrame:
     return trend.withColumn("p_value", tail(F.col("r_squared"), F.col("n").cast("double")))
 
 
-def monthly_variation(panel: DataFrame) -> DataFrame:
-    """Sample deviation of the month means."""
-    means = month_means(panel)
-    return means.select(ID, array_std(F.array(*[f"month_{m}" for m in MONTHS])).alias("monthly_profile_std"))
-
-
 def first_extreme(values: list[Column], largest: bool = True) -> Column:
     """The place, from 1, of the largest (or smallest) non-null value; the first of equals."""
     best = F.greatest(*values) if largest else F.least(*values)
     return reduce(lambda w, iv: w.when(iv[1] == best, iv[0]), enumerate(values[1:], 2), F.when(values[0] == best, 1)).cast("int")
 
 
+VARIATION = Block(month_aggregates, lambda: {"monthly_profile_std": array_std(F.array(*month_columns()))})
+PEAK = Block(month_aggregates, lambda: {"peak_month": first_extreme(month_columns())})
+
+
+def monthly_variation(panel: DataFrame) -> DataFrame:
+    """Sample deviation of the month means."""
+    return compute(panel, VARIATION)
+
+
 def peak_months(panel: DataFrame) -> DataFrame:
     """The month, 1 to 12, with the largest mean; the first of equals, null without readings."""
-    return month_means(panel).select(ID, first_extreme([F.col(f"month_{m}") for m in MONTHS]).alias("peak_month"))
+    return compute(panel, PEAK)
+
+
+def _season_aggregates() -> dict[str, Column]:
+    mean = lambda months: F.avg(F.when(F.month(DAY).isin(*months), F.col(V)))
+    return {"_winter": mean(WINTER), "_summer": mean(SUMMER)}
+
+
+def _season_outputs() -> dict[str, Column]:
+    w, s = F.col("_winter"), F.col("_summer")
+    return {"winter_mean": w, "summer_mean": s, "winter_summer_contrast": (w - s) / F.nullif(w + s + 1e-6, F.lit(0.0))}
+
+
+SEASON = Block(_season_aggregates, _season_outputs)
 
 
 def seasonal_contrast(panel: DataFrame) -> DataFrame:
     """Day-level means of winter and summer and their relative difference."""
-    mean = lambda months: F.avg(F.when(F.month(DAY).isin(*months), F.col(V)))
-    each = panel.groupBy(ID).agg(mean(WINTER).alias("winter_mean"), mean(SUMMER).alias("summer_mean"))
-    w, s = F.col("winter_mean"), F.col("summer_mean")
-    return each.withColumn("winter_summer_contrast", (w - s) / F.nullif(w + s + 1e-6, F.lit(0.0)))
+    return compute(panel, SEASON)
+
+
+def _diagnostic_blocks(**thresholds: float) -> list[Block]:
+    trend = Block(TREND.aggregates, lambda: {"trend_slope_normalized": TREND.outputs()["trend_slope_normalized"]}, TREND.needs)
+    peak = Block(PEAK.aggregates, lambda: {"peak_month_eda": PEAK.outputs()["peak_month"]})
+    return [STATISTICS, autocorrelation_block(1, 7, 30), VARIATION, trend, SEASON, peak, regime_block(**thresholds)]
 
 
 def household_diagnostics(panel: DataFrame, **thresholds: float) -> DataFrame:
     """Statistics, autocorrelations, seasonal, trend and regime columns in one row for each household.
 
-    Every part aggregates by household, so after one exchange of the panel the
-    parts and their joins stay in place.
+    One window pass and one aggregate give all of them.
     """
-    parts = [
-        household_statistics(panel),
-        autocorrelations(panel),
-        monthly_variation(panel),
-        trends(panel).select(ID, "trend_slope_normalized"),
-        seasonal_contrast(panel),
-        peak_months(panel).withColumnRenamed("peak_month", "peak_month_eda"),
-        regime_flags(panel, **thresholds).drop("std", "zero_days", "zero_pct"),
-    ]
-    return reduce(lambda a, b: a.join(b, ID), parts)
+    return compute(panel, *_diagnostic_blocks(**thresholds))
 
 
 def categories(stats: DataFrame, zero_pct: float = 75.0) -> DataFrame:
@@ -206,19 +233,29 @@ def phase1_summary(diagnostics: DataFrame) -> DataFrame:
     return one.crossJoin(F.broadcast(modes))
 
 
+def _norm_aggregates() -> dict[str, Column]:
+    return {
+        "_zrange": F.max(Z) - F.min(Z),
+        "_zstep": F.avg(F.abs(F.col(Z) - F.col("zlag_1"))),
+        "_zacf": safe_corr(F.col("zlag_7"), F.col(Z)),
+    }
+
+
+NORM = Block(
+    _norm_aggregates,
+    lambda: {"normalized_range": F.col("_zrange"), "normalized_abs_diff_mean": F.col("_zstep"), "normalized_autocorr_lag_7": F.col("_zacf")},
+    (Z, "zlag_1", "zlag_7"),
+)
+
+
 def norm_summary(panel: DataFrame) -> DataFrame:
     """Range, mean absolute step and lag-7 autocorrelation of the standardised series."""
-    z = lagged(z_rows(panel), 1, 7)
-    return z.groupBy(ID).agg(
-        (F.max(V) - F.min(V)).alias("normalized_range"),
-        F.avg(F.abs(F.col(V) - F.col("lag_1"))).alias("normalized_abs_diff_mean"),
-        safe_corr(F.col("lag_7"), F.col(V)).alias("normalized_autocorr_lag_7"),
-    )
+    return compute(panel, NORM)
 
 
 def method_selection(panel: DataFrame) -> DataFrame:
-    """Diagnostics with the standardised summary."""
-    return household_diagnostics(panel).join(norm_summary(panel), ID, "left")
+    """Diagnostics with the standardised summary, in the same pass."""
+    return compute(panel, *_diagnostic_blocks(), NORM)
 
 
 def ranked_sample(diagnostics: DataFrame, n_per_group: int = 5, seed: int = 42) -> DataFrame:

@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _year(items: DataFrame, year: int) -> DataFrame:
-    """Line items shipped in a year, by a range that reaches the scan."""
-    day = F.col("l_shipdate")
-    return items.filter((day >= F.lit(f"{year}-01-01").cast("timestamp")) & (day < F.lit(f"{year + 1}-01-01").cast("timestamp")))
+    """Line items shipped in a year, by a range of the column's own type, which reaches the scan."""
+    day, kind = F.col("l_shipdate"), items.schema["l_shipdate"].dataType
+    return items.filter((day >= F.lit(f"{year}-01-01").cast(kind)) & (day < F.lit(f"{year + 1}-01-01").cast(kind)))
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
