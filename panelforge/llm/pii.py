@@ -22,6 +22,21 @@ _CUE = {
 }
 _NAME = r"[\p{Lu}&&[\p{IsLatin}\p{IsCyrillic}]][\p{L}&&[\p{IsLatin}\p{IsCyrillic}]]+"
 
+#: Given names by script and gender; a listed name becomes another of its list.
+GIVEN = {
+    "latin m": (
+        *("James", "Robert", "Michael", "David", "William", "Richard", "Thomas", "Charles", "Peter", "George", "Paul", "John", "Daniel", "Mark"),
+        *("Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Jean", "Pierre", "Michel", "Jacques", "François", "Carlos", "Juan", "José", "Luis", "Miguel"),
+    ),
+    "latin f": (
+        *("Mary", "Linda", "Susan", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Sarah", "Emma", "Laura", "Anna", "Maria", "Julia", "Emily", "Karen"),
+        *("Ursula", "Monika", "Petra", "Sabine", "Marie", "Claire", "Sophie", "Isabelle", "Carmen", "Elena", "Lucía", "Sofía", "Pilar", "Nina"),
+    ),
+    "cyrillic m": ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Михаил", "Андрей"),
+    "cyrillic f": ("Мария", "Анна", "Ольга", "Елена", "Наталья", "Ирина", "Татьяна", "Светлана"),
+}
+_LISTED = "|".join(n for names in GIVEN.values() for n in names)
+
 #: Kinds in the order in which they are tried at a place, with their Java patterns.
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9_.+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -31,12 +46,12 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{2,5}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9A-Za-z.+-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.+-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "person": rf"(?<![\p{{L}}])(?:{'|'.join(_CUE.values())}) {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}])(?:(?:{'|'.join(_CUE.values())}) {_NAME}(?: {_NAME})?|(?:{_LISTED}) {_NAME})(?![\p{{L}}])",
 }
 #: What an entity of a kind starts with; kinds that are not here start with any letter.
-_STARTS = {"secret": "[0-9a-fAgs]", "iban": "[A-Z]", "ipv4": "[0-9]", "phone": "[0-9+(]", "card": "[0-9]", "ssn": "[0-9]", "person": r"[A-Z\u0433]"}
+_STARTS = {"secret": "[0-9a-fAgs]", "iban": "[A-Z]", "ipv4": "[0-9]", "phone": "[0-9+(]", "card": "[0-9]", "ssn": "[0-9]", "person": r"[\p{Lu}\u0433]"}
 ANY = "|".join(f"(?={_STARTS[k]})(?:{p})" if k in _STARTS else p for k, p in KINDS.items())
-#: Every entity but a person holds a digit or an @; every person one of these.
+#: Every entity but a person holds a digit or an @; a person with a form of address one of these.
 _PERSON_HINTS = ("Mr", "Ms", "Miss", "Mx", "Sir", "Lady", "Dr.", "Prof.", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr.", "Sra.", "Signor", "г-", "господ", "госпож")
 
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
@@ -44,15 +59,6 @@ _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABC
 _NAME_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
 _NAME_ALPHABETS = (*_NAME_CLASSES, *[c.upper() for c in _NAME_CLASSES])
 
-#: Given names by script and gender; a listed name becomes another of its list.
-GIVEN = {
-    "latin m": ("James", "Robert", "Michael", "David", "Thomas", "Peter", "Hans", "Jean", "Pierre", "Carlos", "Juan", "Paul", "John", "Daniel"),
-    "latin f": ("Mary", "Linda", "Susan", "Anna", "Maria", "Julia", "Marie", "Claire", "Carmen", "Elena", "Laura", "Sarah", "Emma", "Nina"),
-    "cyrillic m": ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай"),
-    "cyrillic f": ("Мария", "Анна", "Ольга", "Елена", "Наталья", "Ирина"),
-}
-
-
 def _shift(s: Column, key: Column, alphabets: tuple[str, ...]) -> Column:
     """Each character moved in its alphabet by an amount that depends on key, length, place and what comes before.
 
@@ -150,7 +156,9 @@ def _person(s: Column, key: Column) -> Column:
     gender = F.when(s.rlike(rf"^(?:{_CUE['f']}) "), "f").when(s.rlike(rf"^(?:{_CUE['m']}) "), "m").otherwise("n")
     parts = F.split(s, " ")
     family = scramble(F.element_at(parts, -1), F.concat(key, F.lit("family")), _NAME_ALPHABETS)
-    return F.when(F.size(parts) == 3, F.concat_ws(" ", parts[0], _given(parts[1], gender, key), family)).otherwise(F.concat_ws(" ", parts[0], family))
+    listed = F.array_contains(F.array(*[F.lit(n) for names in GIVEN.values() for n in names]), parts[0])
+    bare = F.concat_ws(" ", _given(parts[0], F.lit("n"), key), family)
+    return F.when(F.size(parts) == 3, F.concat_ws(" ", parts[0], _given(parts[1], gender, key), family)).when(listed, bare).otherwise(F.concat_ws(" ", parts[0], family))
 
 
 def kind_of(s: Column) -> Column:
@@ -181,26 +189,27 @@ def scramble_tail(s: Column, key: Column) -> Column:
     return F.concat(head, scramble(F.substr(s, F.length(head) + 1), F.concat(key, head), (_DIGITS, _LOWER, _UPPER)))
 
 
-def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
-    """`docs` with replaced `text` and `pii`, an array of structs (kind, entity, surrogate) in text order.
+def with_surrogates(docs: DataFrame, key: str, into: str = "pii") -> DataFrame:
+    """`docs` with replaced `text` and, in column `into`, an array of structs (kind, entity, surrogate) in text order.
 
     Null texts stay null and have no entities; so do empty ones.  All other
     columns and all rows stay.  A text is cut at the matches of one pattern
     and put together again around the surrogates; nothing is shuffled.
     """
     text = F.col("text").cast("string")
-    hint = reduce(lambda a, b: a | b, [text.contains(x) for x in _PERSON_HINTS], text.rlike("[0-9@]"))
+    named = text.rlike(rf"(?<![\p{{L}}])(?=[\p{{Lu}}])(?:{_LISTED}) [\p{{Lu}}]")
+    hint = reduce(lambda a, b: a | b, [text.contains(x) for x in _PERSON_HINTS], text.rlike("[0-9@]")) | named
     found = docs.withColumn("_found", F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     kinds = found.withColumn("_kinds", F.transform("_found", lambda e: F.struct(F.coalesce(kind_of(e), F.lit("person")).alias("kind"), e.alias("entity"))))
     new = kinds.withColumn(
-        "pii",
+        into,
         F.transform("_kinds", lambda e: F.struct(e["kind"].alias("kind"), e["entity"].alias("entity"), surrogate(e["entity"], e["kind"], key).alias("surrogate"))),
     )
     between = F.split(text, ANY, -1)
     joined = F.transform(
-        F.array(between), lambda b: F.concat(F.array_join(F.zip_with(F.slice(b, 1, F.size("pii")), "pii", lambda a, e: F.concat(a, e["surrogate"])), ""), F.element_at(b, -1))
+        F.array(between), lambda b: F.concat(F.array_join(F.zip_with(F.slice(b, 1, F.size(into)), into, lambda a, e: F.concat(a, e["surrogate"])), ""), F.element_at(b, -1))
     )[0]
-    return new.withColumn("text", F.when(F.size("pii") > 0, joined).otherwise(text)).drop("_found", "_kinds")
+    return new.withColumn("text", F.when(F.size(into) > 0, joined).otherwise(text)).drop("_found", "_kinds")
 
 
 def replace_pii(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:

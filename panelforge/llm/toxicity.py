@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +81,9 @@ class Model:
 
 
 def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the non-negative entries."""
+    """Row and column numbers of all entries."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    return row[column >= 0], column[column >= 0]
+    return row, np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
 
 
 def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity: float = 0.02, ridge: float = 1e-4, least_texts: int = 4, rounds: int = 300) -> Model:
@@ -98,21 +99,24 @@ def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity:
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
         return Model({}, 20.0 if rate == 1 else -20.0)
-    ids: dict[str, int] = {}
+    changed = [(i, other) for i, (t, _) in enumerate(examples) if (other := swapped(t)) is not None]
+    df: Counter[str] = Counter()
+    for text in chain((t for t, _ in examples), (other for _, other in changed)):
+        df.update(features(text))
+    frequent = sorted((f for f, k in df.items() if k >= least_texts), key=lambda f: (-df[f], f))
+    names = sorted(frequent[:MAX_FEATURES])
+    del df, frequent
+    index = {f: i for i, f in enumerate(names)}
 
     def numbered(text):
-        return np.fromiter((ids.setdefault(f, len(ids)) for f in sorted(features(text))), np.int32)
+        return np.fromiter(sorted(index[f] for f in features(text) & index.keys()), np.int32)
 
     sets = [numbered(t) for t, _ in examples]
-    pairs = [(s, numbered(other)) for s, (t, _) in zip(sets, examples) if (other := swapped(t)) is not None]
-    df = np.bincount(np.concatenate([*sets, *[b for _, b in pairs]]), minlength=len(ids))
-    by_frequency = sorted((f for f, i in ids.items() if df[i] >= least_texts), key=lambda f: (-df[ids[f]], f))
-    names = sorted(by_frequency[:MAX_FEATURES])
-    index = np.full(len(ids), -1)
-    index[[ids[f] for f in names]] = np.arange(len(names))
-    r, c = _csr([index[s] for s in sets])
-    pr, pc = _csr([index[np.setdiff1d(a, b)] for a, b in pairs])
-    mr, mc = _csr([index[np.setdiff1d(b, a)] for a, b in pairs])
+    pairs = [(sets[i], numbered(other)) for i, other in changed]
+    r, c = _csr(sets)
+    pr, pc = _csr([np.setdiff1d(a, b) for a, b in pairs])
+    mr, mc = _csr([np.setdiff1d(b, a) for a, b in pairs])
+    del sets, index
     n, p = len(y), len(names)
 
     def forward(w):

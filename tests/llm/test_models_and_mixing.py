@@ -166,7 +166,7 @@ def test_pivotal_rounding_is_unbiased(spark):
 
 TEXT = (
     "Write ann.lee+x@corp.example.com, call +1 (017) 555-7713 or 415-555-1234. Host 169.122.221.182. Card 4111 1111 1111 1111 or 4952935900253052!! "
-    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" DE89 3704 0044 0532 0130 00, 078-05-1120. Mr. John Smith met Mrs Klara Weber; Mr. Smith left. г-жа Анна Петрова.'
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" DE89 3704 0044 0532 0130 00, 078-05-1120. Mr. John Smith met Mrs Klara Weber; Mr. Smith left with Susan Smith. г-жа Анна Петрова.'
 )
 
 
@@ -183,7 +183,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert [c for c in full.columns if c != "pii"] == kept
     found = {x["doc_id"]: x for x in full.collect()}
     one = {e["entity"]: (e["kind"], e["surrogate"]) for e in found[1]["pii"]}
-    assert Counter(k for k, _ in one.values()) == {"email": 1, "phone": 2, "ipv4": 1, "card": 2, "secret": 1, "iban": 1, "ssn": 1, "person": 4}
+    assert Counter(k for k, _ in one.values()) == {"email": 1, "phone": 2, "ipv4": 1, "card": 2, "secret": 1, "iban": 1, "ssn": 1, "person": 5}
     shape = lambda s: "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in s)
     for entity, (kind, new) in one.items():
         assert new != entity and entity not in found[1]["text"].replace("Mr. Smith", "")
@@ -195,9 +195,11 @@ def test_surrogates_keep_type_format_and_identity(spark):
     john, smith = one["Mr. John Smith"][1].split(), one["Mr. Smith"][1].split()
     assert john[0] == "Mr." and john[1] in pii.GIVEN["latin m"] and john[2] == smith[1]
     assert one["Mrs Klara Weber"][1].split()[1].endswith("a") and one["г-жа Анна Петрова"][1].split()[1] in pii.GIVEN["cyrillic f"]
+    susan = one["Susan Smith"][1].split()
+    assert susan[0] in pii.GIVEN["latin f"] and susan[1] == smith[1]
     assert {e["entity"]: e["surrogate"] for e in found[2]["pii"]} == {k: one[k][1] for k in ("169.122.221.182", "Mr. John Smith")}
     assert found[3]["text"] is None and found[4]["text"] == "" and found[5]["text"] == rows[4][1]
-    assert {x["doc_id"]: x["n_entities"] for x in pii.replace_pii(docs).collect()} == {1: 13, 2: 2, 3: 0, 4: 0, 5: 0, None: 1}
+    assert {x["doc_id"]: x["n_entities"] for x in pii.replace_pii(docs).collect()} == {1: 14, 2: 2, 3: 0, 4: 0, 5: 0, None: 1}
     assert pii.replace_pii(docs.limit(0)).count() == 0
 
 
