@@ -7,6 +7,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelforge.llm.common import batch_of, decoded, map_rows, text_rows
 
@@ -165,17 +166,16 @@ def fit(docs: DataFrame, fold: int = 1, folds: int = 3, sample_chars: int = SAMP
     Every language gives excerpts of at most `sample_docs` documents, taken
     by the order of a hash, until `sample_chars` characters are full.
     """
-    from pyspark.sql.window import Window
-
-    rows = docs.select(
-        F.col("lang").cast("string").alias("lang"),
-        F.xxhash64("doc_id").alias("h"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    ).filter((F.crc32(F.col("doc_id").cast("string")) % folds != fold) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    lang, h = F.col("lang").cast("string"), F.xxhash64(F.col("doc_id").cast("long"))
+    learned = docs.filter((F.crc32(F.col("doc_id").cast("string")) % folds != fold) & lang.isNotNull() & F.col("text").isNotNull())
+    # Some four times the wanted rows of each language pass a hash threshold; only they are ranked.
+    counts = learned.groupBy(lang.alias("_of")).agg(F.count("*").alias("_n"))
+    chance = (F.lit(4.0 * sample_docs) / F.col("_n") * F.lit(float(1 << 30))).cast("long")
     share = max(200, 8 * sample_chars // max(1, sample_docs))
-    rows = rows.withColumn("text", F.substring("text", 1, share))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).filter(F.col("k") <= sample_docs)
+    rows = learned.select(lang.alias("lang"), h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, share).alias("text"))
+    drawn = rows.join(counts, F.col("lang") == F.col("_of")).filter(F.pmod("h", F.lit(1 << 30)) <= chance)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    ranked = drawn.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
     samples: dict[str, str] = {}
     for r in ranked.orderBy("lang", "k").select("lang", "text").collect():
         have = samples.setdefault(r["lang"], "")
