@@ -137,6 +137,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKE
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of `docs` for each doc_id and text hash `h` in `kept`, with all columns, and the rows without doc_id."""
+    named = docs.filter("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    found = named.join(kept.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), ["_id", "_h"], "left_semi")
+    once = Window.partitionBy("_id", "_h").orderBy(F.col("text").asc_nulls_last())
+    single = found.withColumn("_row", F.row_number().over(once)).filter("_row = 1")
+    return single.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def without_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row of each near-duplicate class, that of its smallest doc_id, with all columns.
 
