@@ -40,7 +40,7 @@ _LISTED = "|".join(n for names in GIVEN.values() for n in names)
 #: Kinds in the order in which they are tried at a place, with their Java patterns.
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9_.+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z_-]*+[0-9])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z_-]*+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]{2,5}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
@@ -49,7 +49,7 @@ KINDS = {
     "person": rf"(?<![\p{{L}}])(?:(?:{'|'.join(_CUE.values())}) {_NAME}(?: {_NAME})?|(?:{_LISTED}) {_NAME})(?![\p{{L}}])",
 }
 #: What an entity of a kind starts with; kinds that are not here start with any letter.
-_STARTS = {"secret": "[0-9a-fAgs]", "iban": "[A-Z]", "ipv4": "[0-9]", "phone": "[0-9+(]", "card": "[0-9]", "ssn": "[0-9]", "person": r"[\p{Lu}\u0433]"}
+_STARTS = {"secret": "[0-9a-fA-Fgs]", "iban": "[A-Z]", "ipv4": "[0-9]", "phone": "[0-9+(]", "card": "[0-9]", "ssn": "[0-9]", "person": r"[\p{Lu}\u0433]"}
 ANY = "|".join(f"(?={_STARTS[k]})(?:{p})" if k in _STARTS else p for k, p in KINDS.items())
 #: Every entity but a person holds a digit or an @; a person with a form of address one of these.
 _PERSON_HINTS = ("Mr", "Ms", "Miss", "Mx", "Sir", "Lady", "Dr.", "Prof.", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr.", "Sra.", "Signor", "г-", "господ", "госпож")
@@ -173,6 +173,7 @@ def surrogate(entity: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "email", _email(entity, k["email"]))
         .when((kind == "secret") & entity.rlike("^[0-9a-f]+$"), scramble(entity, k["secret"], (_HEX,)))
+        .when((kind == "secret") & entity.rlike("^[0-9A-F]+$"), F.upper(scramble(F.lower(entity), k["secret"], (_HEX,))))
         .when(kind == "secret", scramble_tail(entity, k["secret"]))
         .when(kind == "iban", F.concat(F.substring(entity, 1, 2), scramble(F.substr(entity, F.lit(3)), F.concat(k["iban"], F.substring(entity, 1, 2)), (_DIGITS, _UPPER))))
         .when(kind == "ipv4", _ipv4(entity, k["ipv4"]))

@@ -211,3 +211,16 @@ def test_surrogates_are_one_to_one(spark):
     each = pii.with_surrogates(some, "k").select(F.explode("pii").alias("e")).select("e.*")
     assert each.distinct().count() == each.select("kind", "surrogate").distinct().count() == 12000
     assert pii.collisions(some, "k").count() == 0
+
+
+def test_upper_case_digests_are_secrets(spark):
+    digest = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = [f'TOKEN = "{digest}" IN CAPITALS', f"token = {digest.lower()}", f"{digest} AND F{digest[1:]}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {x["doc_id"]: x for x in pii.with_surrogates(docs, "k").collect()}
+    ((kind, entity, new),) = found[0]["pii"]
+    assert (kind, entity) == ("secret", digest) and new != digest and set(new) <= set("0123456789ABCDEF") and len(new) == len(digest)
+    assert found[0]["text"] == texts[0].replace(digest, new)
+    assert [e["surrogate"] for e in found[1]["pii"]] == [new.lower()] and [e["surrogate"] for e in found[2]["pii"]][0] == new
+    assert {x["doc_id"]: (x["n_entities"], x["n_collisions"]) for x in pii.replace_pii(docs).collect()} == {0: (1, 0), 1: (1, 0), 2: (2, 0)}
+    assert pii.collisions(docs, "k").count() == 0
