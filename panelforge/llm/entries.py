@@ -35,7 +35,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents"), most_covered=0.1, longest_share=0.03)
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,14 +65,17 @@ def base_counts(raw: bytes, words: list[bytes]) -> tuple[int, int, int]:
 
 
 def quality_rules(
-    docs: DataFrame, least_words: int = 10, most_repeated: int = 20, least: int = 8, most_covered: float = 0.2, longest: int = 60
+    docs: DataFrame, least_words: int = 10, most_repeated: int = 20, least: int = 8, most_covered: float = 0.2, longest: int = 60, longest_share: float = 1.0
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, longest_repeat, base_failed, kept.
 
     base_failed: under `least_words` words, or more than `most_repeated`
     percent of the words in repeated 5-word windows.  kept: not failed,
     maximal repeats of `least` words or more cover at most the fraction
-    `most_covered` of the words and the longest has at most `longest` words.
+    `most_covered` of the words and the longest has at most `longest` words and,
+    from `least` words on, at most the fraction `longest_share` of them.  A
+    `most_covered` of `most_repeated` percent or more rejects nothing further:
+    every covered word lies in a repeated window.
     Null and empty texts have no words and fail; null doc_ids and repeated
     rows stay; an empty table gives none; other columns are not read.
     """
@@ -83,7 +86,7 @@ def quality_rules(
             for raw, w, (repeated, in_repeat, most) in zip(raws, words, repetition(words, 5, least)):
                 chars, symbols, lines = base_counts(raw, w)
                 failed = len(w) < least_words or 100 * repeated > most_repeated * len(w)
-                kept = not failed and in_repeat <= most_covered * len(w) and most <= longest
+                kept = not failed and in_repeat <= most_covered * len(w) and most <= longest and (most < least or most <= longest_share * len(w))
                 yield len(w), chars, symbols, lines, repeated, in_repeat, most, failed, kept
 
         def run(batch):
