@@ -26,11 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests, one machine) a temporary folder is
-    set in the session and used from then on.
+    A folder set by `SparkContext.setCheckpointDir` counts too.  Where there is
+    none, one machine (a local master, as in tests) gets a temporary folder; a
+    cluster gets an error, for its executors share no local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = set_by_code.get() if set_by_code.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -72,6 +78,39 @@ def drop_cut(df: DataFrame) -> None:
         there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def fresh(df: DataFrame, name: str, *others: str) -> str:
+    """A column name that neither `df` nor `others` hold."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: A key that holds more than this fraction of the rows is hot; there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+#: Keys of fewer rows are never hot.
+HOT_ROWS = 500
+
+
+def hot_keys(counted: DataFrame, total: int, *on: str, n: str = "n") -> DataFrame:
+    """The keys `on` of `counted` that hold over `HOT_SHARE` of `total` rows: 1,000 at most, whatever the data."""
+    return counted.filter(F.col(n) > max(HOT_ROWS, int(total * HOT_SHARE))).select(*on)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """`left.join(right, on, how)` with the rows of `hot` keys dealt over as many tasks as there are partitions.
+
+    `hot` is bounded (`hot_keys`) and broadcast; the rows of `right` with such
+    a key, few for each, go to all of these tasks.
+    """
+    salts, salt, flag = partitions(left.sparkSession), fresh(left, "salt", *right.columns), fresh(left, "hot", *right.columns)
+    known = F.broadcast(hot.withColumn(flag, F.lit(True)))
+    whole = F.array(F.lit(0))
+    dealt = left.join(known, on, "left").withColumn(salt, F.when(F.col(flag), F.floor(F.rand(1) * salts).cast("int")).otherwise(0)).drop(flag)
+    copied = right.join(known, on, "left").withColumn(salt, F.explode(F.when(F.col(flag), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(whole))).drop(flag)
+    return dealt.join(copied, [*on, salt], how).drop(salt)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the number of salts for hot keys."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

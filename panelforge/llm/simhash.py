@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import batch_of, cut, drop_cut, map_rows, text_rows
+from panelforge.llm.common import batch_of, cut, drop_cut, fresh, hot_keys, map_rows, spread_join, text_rows
 
 #: Table buckets above this many fingerprints take the exact hub way instead of the join.
 BUCKET_LIMIT = 64
@@ -77,13 +77,19 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = BUCKET_LIMIT
         F.struct(F.lit(0).alias("seg"), F.shiftrightunsigned("fp", 32).alias("key")),
         F.struct(F.lit(1).alias("seg"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")),
     )
-    tables = fps.select("fp", F.explode(keys).alias("k")).select("k.seg", "k.key", "fp")
-    hot = tables.groupBy("seg", "key").count().filter(F.col("count") > bucket_limit).select("seg", "key", F.lit(True).alias("hot"))
-    tables = cut(tables.join(hot, ["seg", "key"], "left").select("seg", "key", F.col("fp").alias("other"), F.coalesce("hot", F.lit(False)).alias("hot")))
+    total = fps.count()
+    tables = cut(fps.select("fp", F.explode(keys).alias("k")).select("k.seg", "k.key", F.col("fp").alias("other")))
+    sizes = cut(tables.groupBy("seg", "key").agg(F.count("*").alias("n")))
+    # Keys of buckets that hold a large share of all fingerprints, and the keys that their balls probe: 33 for each.
+    very = hot_keys(sizes, total, "seg", "key")
+    around = F.transform(_masks(0, 32), lambda m: F.col("key").bitwiseXOR(m))
+    probed = very.select("seg", F.explode(F.when(F.col("seg") == 0, around).otherwise(F.array("key"))).alias("key")).distinct()
+    large = sizes.filter(F.col("n") > bucket_limit).select("seg", "key", F.lit(True).alias("hot"))
+    tables = cut(spread_join(tables, large, ["seg", "key"], very, "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     ball = F.transform(_masks(32, 64), lambda m: F.struct(F.lit(0).alias("seg"), F.shiftrightunsigned(F.col("fp").bitwiseXOR(m), 32).alias("key")))
     exact = F.array(F.struct(F.lit(1).alias("seg"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")))
     probes = fps.select("fp", F.explode(F.concat(ball, exact)).alias("k")).select("fp", "k.seg", "k.key")
-    met = probes.join(tables.filter(~F.col("hot")), ["seg", "key"]).select("fp", "other")
+    met = spread_join(probes, tables.filter(~F.col("hot")).drop("hot"), ["seg", "key"], probed).select("fp", "other")
     members = tables.filter("hot").select(F.col("other").alias("fp")).distinct()
     near = members.select("fp", F.explode(F.transform(_masks(0, 64), lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
     hubs = near.groupBy("centre").agg(F.min("fp").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -106,11 +112,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges, state = cut(links), None
     while True:
+        total = edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a != b").distinct()
-        up = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(up, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a != b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        hubs = hot_keys(least, 2 * total, "a")
+        large = spread_join(both.filter("b > a"), least.drop("n"), ["a"], hubs).select(F.col("m").alias("a"), "b").filter("a != b").distinct()
+        up = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        leaves = hot_keys(up, total, "b")
+        small = spread_join(large, up.drop("n"), ["b"], leaves).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a != b").distinct()
         after = cut(small)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_cut(edges)
@@ -120,39 +129,62 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _classes(fps: DataFrame, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """fp, component_id and the root of its class; and the fingerprints of a large share of the rows."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    roots = components(near_links(nodes.select("fp"), bucket_limit=bucket_limit))
+    rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", "n"))
+    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("nodes"))
+    hubs = hot_keys(smallest, rooted.count(), "root", n="nodes")
+    return spread_join(rooted, smallest.drop("nodes"), ["root"], hubs).select("fp", "component_id", "root"), hot_keys(rooted, fps.count(), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every row of `docs`.
 
     component_id is the smallest doc_id reachable over links between
-    fingerprints at 2 or fewer differing bits.  Null doc_ids get rows too and
+    fingerprints at 2 or fewer differing bits; null where none of them has a
+    doc_id.  Null and empty texts have fingerprint zero and link like any
+    other; texts of any length are read whole; null doc_ids get rows too and
     are ignored by that minimum; repeated rows stay; an empty table gives none.
     Other columns of `docs` are not read.
     """
     fps = cut(fingerprints(docs, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(near_links(nodes.select("fp"), bucket_limit=bucket_limit))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes, copied = _classes(fps, bucket_limit)
+    return spread_join(fps, classes.drop("root"), ["fp"], copied).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of `docs` for each doc_id and text hash `h` in `kept`, with all columns, and the rows without doc_id."""
-    named = docs.filter("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    found = named.join(kept.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), ["_id", "_h"], "left_semi")
-    once = Window.partitionBy("_id", "_h").orderBy(F.col("text").asc_nulls_last())
-    single = found.withColumn("_row", F.row_number().over(once)).filter("_row = 1")
-    return single.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of `docs` for each doc_id and text hash `h` in `kept`, with all columns, and the rows without doc_id.
+
+    Of rows with the same doc_id and text, that with the least values in the other columns.
+    """
+    id_, h, turn = fresh(docs, "id"), fresh(docs, "h"), fresh(docs, "turn")
+    named = docs.filter("doc_id is not null").withColumn(id_, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    found = named.join(kept.select(F.col("doc_id").alias(id_), F.col("h").alias(h)), [id_, h], "left_semi")
+    rest = [F.hash(f"`{c}`") for c in docs.columns if c != "text"]
+    once = Window.partitionBy(id_, h).orderBy(F.col("text").asc_nulls_last(), *rest)
+    single = found.withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1)
+    return single.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One row of each near-duplicate class, that of its smallest doc_id, with all columns.
+    """One row of each near-duplicate class, with all columns: of its smallest doc_id, and of that its first text by hash.
 
-    Rows without doc_id name no class and stay.
+    Classes are of texts, so two texts under one doc_id may both stay.  Rows
+    without doc_id name no class and stay.
     """
-    classes = near_duplicates(docs, shingle)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(once)).filter("_row = 1")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("h"))
+
+    def make():
+        def run(batch):
+            fp = np.array([fingerprint(x, shingle) for x in batch.column("raw").to_pylist()], np.uint64)
+            return batch_of(doc_id=batch.column("doc_id"), h=batch.column("h"), fp=pa.array(fp.view(np.int64)))
+
+        return run
+
+    fps = cut(map_rows(text_rows(hashed, "h"), make, "doc_id long, h long, fp long"))
+    classes, _ = _classes(fps, BUCKET_LIMIT)
+    least = fps.filter("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    kept = least.join(classes, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    return one_of_each(docs, kept.select("least.doc_id", "least.h"))

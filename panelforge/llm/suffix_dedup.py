@@ -17,20 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batch_of, cut, drop_cut, free_shuffles, map_rows
+from panelforge.llm.common import batch_of, cut, drop_cut, free_shuffles, hot_keys, map_rows, spread_join
 from panelforge.llm.suffix import maximal_repeats, suffix_array
 
 #: Bytes hashed at once, and bytes of the contexts that share a suffix array.
 SEGMENT = 1 << 20
 CONTEXT_BYTES = 1 << 19
-#: An anchor with more different contexts is split by the strings themselves.
-ANCHOR_LIMIT = 200
+#: Different contexts that a suffix array takes of one anchor; those of a hotter anchor are split by longer common parts.
+ANCHOR_LIMIT = 4096
 #: Bytes of an anchor's k-gram.
 GRAM = 32
 #: A run of starts travels as one number: its first start, its last and its anchor past that, 7 bits each for these.
 _BITS = 7
-#: Starts that are compared at once where an anchor has very many contexts.
-STRETCH = 16
+#: Starts of a stretch, by which hot anchors are split, and then what is hot still; single starts have but one string each.
+STRETCHES = (16, 4, 1)
 LAST_ID = (1 << 63) - 1
 
 
@@ -150,9 +150,9 @@ def _context_rows(reps: DataFrame, length: int) -> DataFrame:
         return run
 
     found = map_rows(reps.select("rid", "raw"), make, "h long, rid long, run long")
-    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     free_shuffles(spark)
-    shared = cut(found.join(again, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "run")).alias("runs")))
+    shared = cut(spread_join(found, again.select("h"), ["h"], hot_keys(again, reps.count(), "h")).groupBy("rid").agg(F.collect_list(F.struct("h", "run")).alias("runs")))
     free_shuffles(spark)
 
     def piece(r):
@@ -211,59 +211,70 @@ def _spans_in_arrays(contexts: DataFrame, length: int) -> DataFrame:
     return together.mapInArrow(run, "rid long, a int, b int")
 
 
-def _later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (rid, a, s): rid, a, b of those whose bytes s occur earlier, and the first row of each s."""
-    first = rows.groupBy("s").agg(F.min(F.struct("rid", "a")).alias("first"))
-    again = rows.join(first, "s").filter(F.struct("rid", "a") > F.col("first"))
-    return again.select("rid", "a", (F.col("a") + F.length("s")).cast("int").alias("b")), first.select("s", "first.*")
+def _collapsed(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of contexts (h, rid, lo, k, b): the first of those with equal bytes, and spans (rid, a, b) of all others.
+
+    The aggregate that finds the first combines before its shuffle.
+    """
+    keyed = contexts.withColumn("m", F.md5("b"))
+    counted = cut(keyed.groupBy("h", "m").agg(F.min(F.struct("rid", "lo", "k", "b")).alias("f"), F.count("*").alias("n")))
+    first_of = counted.filter("n > 1").select("h", "m", F.struct("f.rid", "f.lo").alias("first"))
+    hot = hot_keys(counted, contexts.count(), "h", "m")
+    members = keyed.select("h", "m", "rid", "lo", F.length("b").alias("size"))
+    again = spread_join(members, first_of, ["h", "m"], hot).filter(F.struct("rid", "lo") > F.col("first"))
+    return counted.select("h", "f.*"), cut(again.select("rid", F.col("lo").alias("a"), (F.col("lo") + F.col("size")).cast("int").alias("b")))
 
 
-def _spans_by_string(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts (h, rid, lo, k, b), by bytes as keys and first places as minima.
+def _stretches(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """Contexts (h, rid, lo, k, b) cut into stretches of at most `width` starts, with keys of their own.
 
-    First whole stretches of starts, laid out from the anchor so that equal
-    surroundings give equal stretches; then, among the first of each
-    stretch, every string of `length` bytes.
+    Stretches are laid out from the anchor.  All strings of a stretch hold
+    its core, the bytes from its last start to the end of its first string;
+    core and number of the stretch make the new key, so equal strings meet.
     """
     starts = F.length("b") - length  # the last start, from lo
-    number = F.sequence(F.floor((F.col("k") - starts) / STRETCH).cast("int"), F.floor(F.col("k") / STRETCH).cast("int"))
+    number = F.sequence(F.floor((F.col("k") - starts) / width).cast("int"), F.floor(F.col("k") / width).cast("int"))
 
     def stretch(q):
-        begin, end = F.greatest(F.lit(0), F.col("k") - q * STRETCH - (STRETCH - 1)), F.least(starts, F.col("k") - q * STRETCH)
-        return F.struct((F.col("lo") + begin).alias("a"), F.substring(F.col("b"), begin + 1, end - begin + length).alias("s"))
-
-    def single(o):
-        return F.struct((F.col("a") + o).cast("int").alias("a"), F.substring(F.col("s"), o + 1, F.lit(length)).alias("s"))
+        last = F.col("k") - q * width
+        begin, end = F.greatest(F.lit(0), last - (width - 1)), F.least(starts, last)
+        return F.struct(
+            F.xxhash64("h", q, F.substring("b", last + 1, F.lit(length - width + 1))).alias("h"),
+            (F.col("lo") + begin).cast("int").alias("lo"),
+            (F.col("k") - begin).cast("int").alias("k"),
+            F.substring("b", begin + 1, end - begin + length).alias("b"),
+        )
 
-    wide = contexts.select("rid", F.explode(F.transform(number, stretch)).alias("x")).select("rid", F.col("x.a").cast("int").alias("a"), "x.s")
-    whole, firsts = _later(wide)
-    each = firsts.select("rid", F.explode(F.transform(F.sequence(F.lit(0), F.length("s") - length), single)).alias("x")).select("rid", "x.a", "x.s")
-    return whole.unionByName(_later(each)[0])
+    return contexts.select("rid", F.explode(F.transform(number, stretch)).alias("x")).select("x.h", "rid", "x.lo", "x.k", "x.b")
 
 
 def repeated_spans(reps: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_LIMIT) -> DataFrame:
     """rid, spans: byte spans (a, b) of `reps` (rid, raw) that repeats of `length` bytes or more with an earlier place cover.
 
-    Earlier is a smaller rid, or before it in the same text.  Contexts that
-    are the same bytes collapse to the first of them by an aggregate that
-    combines before its shuffle; all others of them are repeats as a whole.
-    Different contexts of an anchor meet in a suffix array.
+    Earlier is a smaller rid, or before it in the same text.  Contexts of an
+    anchor meet in a suffix array, equal ones as one.  Anchors with more than
+    `anchor_limit` different contexts are split by the longer common parts of
+    stretches of starts, whose contexts meet in suffix arrays of their own;
+    what is still too large by those of shorter stretches.  The strings from a
+    single start that share a key are equal, so nothing is left after these.
     """
+    spark, parts = reps.sparkSession, []
     contexts = _context_rows(reps, length)
-    keyed = contexts.withColumn("m", F.md5("b"))
-    firsts = cut(keyed.groupBy("h", "m").agg(F.min(F.struct("rid", "lo", "k", "b")).alias("f")).select("h", "m", "f.*"))
-    free_shuffles(reps.sparkSession)
-    members = keyed.select("h", "m", "rid", "lo", F.length("b").alias("n"))
-    first_of = firsts.select("h", "m", F.struct("rid", "lo").alias("first"))
-    whole = members.join(first_of, ["h", "m"]).filter(F.struct("rid", "lo") > F.col("first")).select("rid", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).cast("int").alias("b"))
-    whole = cut(whole)
-    drop_cut(contexts)
-    free_shuffles(reps.sparkSession)
-    counted = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    met = firsts.join(counted, "h")
-    arrays = _spans_in_arrays(met.filter(F.col("n") <= anchor_limit), length)
-    strings = _spans_by_string(met.filter(F.col("n") > anchor_limit), length)
-    spans = whole.unionByName(arrays).unionByName(strings)
+    for width in (*STRETCHES, 0):
+        firsts, again = _collapsed(contexts)
+        parts.append(again)
+        drop_cut(contexts)
+        free_shuffles(spark)
+        counted = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+        met = spread_join(firsts, counted, ["h"], hot_keys(counted, firsts.count(), "h"))
+        parts.append(_spans_in_arrays(met.filter(F.col("n") <= anchor_limit).drop("n"), length))
+        hot = met.filter(F.col("n") > anchor_limit).drop("n")
+        if not width or counted.filter(F.col("n") > anchor_limit).isEmpty():
+            break
+        contexts = cut(_stretches(hot, length, width))
+    spans = parts[0]
+    for part in parts[1:]:
+        spans = spans.unionByName(part)
     return spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -290,8 +301,9 @@ def deduplicated(docs: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_
     smaller doc_id or before it in the same document, on the input's bytes.
     Rows with the same doc_id and text are one document; of different texts
     with one doc_id the order is fixed but arbitrary; rows without doc_id come
-    last.  Null texts are empty.  An empty table gives none; other columns
-    are not read.
+    last.  Null texts are empty; texts of any length are cut whole, in
+    segments that overlap.  Of equal places the first stays.  An empty table
+    gives none; other columns are not read.
 
     Exact copies of an earlier document are settled by their digest: all goes
     if they have `length` bytes.
@@ -299,12 +311,15 @@ def deduplicated(docs: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_
     spark = docs.sparkSession
     empty = hashlib.sha256(b"").hexdigest()
     ids = cut(_text(docs).select("doc_id", "d", "t", "sha", F.length("raw").cast("long").alias("n_bytes")))
-    first = ids.groupBy("sha").agg(F.min("d").alias("first_d"))
-    known = ids.join(first, "sha").withColumn("copy", (F.col("d") > F.col("first_d")) & (F.col("n_bytes") >= length))
+    total = ids.count()
+    first = ids.groupBy("sha").agg(F.min("d").alias("first_d"), F.count("*").alias("n"))
+    known = spread_join(ids, first.drop("n"), ["sha"], hot_keys(first, total, "sha"))
+    known = cut(known.withColumn("copy", (F.col("d") > F.col("first_d")) & (F.col("n_bytes") >= length)))
+    repeated = hot_keys(ids.groupBy("d", "t").agg(F.count("*").alias("n")), total, "d", "t")
     alone = known.filter((F.col("n_bytes") >= length) & ~F.col("copy")).select("d", "t").distinct()
     # Numbers in the order of the documents: ranges by (d, t), counted within them.
     numbered = cut(alone.repartitionByRange("d", "t").sortWithinPartitions("d", "t").withColumn("rid", F.monotonically_increasing_id()))
-    reps = cut(_text(docs).select("d", "t", "raw").join(numbered, ["d", "t"]))
+    reps = cut(spread_join(_text(docs).select("d", "t", "raw"), numbered, ["d", "t"], repeated))
     free_shuffles(spark)
     spans = cut(repeated_spans(reps, length, anchor_limit))
     free_shuffles(spark)
@@ -323,7 +338,7 @@ def deduplicated(docs: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_
         return run
 
     cutout = map_rows(reps.join(spans, "rid").select("d", "t", "raw", "spans"), make, "d long, t long, removed long, runs long, kept string").dropDuplicates(["d", "t"])
-    return known.join(cutout, ["d", "t"], "left").select(
+    return spread_join(known, cutout, ["d", "t"], repeated, "left").select(
         "doc_id",
         "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),

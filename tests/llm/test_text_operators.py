@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from panelforge.llm import packing, quality, simhash, suffix_dedup, token_counts
+from panelforge.llm import common, packing, quality, simhash, suffix_dedup, token_counts
 from panelforge.llm.entries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string"
@@ -25,6 +26,7 @@ def corpus(spark):
     base, passage = text(80), text(60)
     texts = [None, "", " \n\t ", "one", "two words", base, base, base.replace(" a", " b", 1), base + " tail", passage + " " + text(30), text(20) + " " + passage, text(3000)]
     texts += ["Ha " * 200, "x\n" * 30 + "line a\nline a\nline b", "émile Ünïcode  ß 漢字 İ Σς \x1c end", "<|endoftext|> a <|startoftext|>", "A B c" * 40, text(12), text(12)]
+    texts += ["Ça été déjà Ärger ÿ µ ªº ʼn ĳ Ǆ ſ ½ ²³ ¡¿ \xa0 \xad ˿ naïve Œuvre", "a" * 5000 + " " + "é" * 5001, " " * 5002 + "x" + "\n" * 4999, "9" * 6000 + "!" * 6000]
     rows = [(i, t, "en", f"s{i % 3}", 1, 0.5, "x") for i, t in enumerate(texts)]
     rows += [(None, base, None, None, None, None, None), (None, None, None, None, None, None, None), rows[5], rows[11]]
     return spark.createDataFrame(rows, SCHEMA), rows
@@ -60,8 +62,12 @@ def test_simhash_matches_brute_force(spark):
         got = Counter(tuple(r) for r in simhash.near_duplicates(docs, bucket_limit=limit).collect())
         assert got == want
     kept = simhash.without_near_duplicates(docs)
+    clash = docs.withColumn("turn", F.lit(1)).withColumn("h", F.lit("h")).withColumn("id", F.lit(2))
+    assert simhash.without_near_duplicates(clash).columns == clash.columns
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for d, _, c in want if d is not None})
+    two = spark.createDataFrame([(7, "a wholly different text that nobody else has"), (7, rows[5][1]), (3, rows[5][1]), (3, rows[5][1])], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.without_near_duplicates(two).collect())) == sorted([(7, "a wholly different text that nobody else has"), (3, rows[5][1])])
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -125,6 +131,31 @@ def test_suffix_dedup_matches_brute_force(spark, limit):
     assert suffix_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_hot_anchors_split_into_stretches(spark):
+    r = random.Random(11)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(130))
+    noise = lambda n: "".join(r.choice("xyz ") for _ in range(n))
+    rows = [(i, noise(r.randint(0, 60)) + passage[r.randint(0, 40) : 130 - r.randint(0, 10)] + noise(r.randint(0, 60))) for i in range(120)]
+    rows += [(200 + i, noise(40) + passage + noise(3) + passage) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flags = removed(rows, 100)
+    want = {d: (len(flags[d, t]), sum(1 for i in flags[d, t] if i - 1 not in flags[d, t])) for d, t in rows}
+    for limit in (4096, 20, 2):
+        got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.deduplicated(docs, anchor_limit=limit).collect()}
+        assert got == want
+
+
+def test_spread_join_is_a_join(spark):
+    left = spark.range(3000).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), "id")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k long, v string")
+    counted = left.groupBy("k").agg(F.count("*").alias("n"))
+    hot = common.hot_keys(counted, 3000, "k")
+    assert 0 < hot.count() <= 1000
+    for how in ("inner", "left"):
+        got = common.spread_join(left, right, ["k"], hot, how)
+        assert got.columns == ["k", "id", "v"] and sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
 def test_repeat_groups_hold_all_occurrences():
     contexts = [b"--abcdefgh--", b"xxabcdefghyy", b"abcdefghz", b"nothing"]
     groups = {(n, tuple(sorted(zip(c.tolist(), o.tolist())))) for n, c, o in suffix_dedup.repeat_groups(contexts, 6)}
