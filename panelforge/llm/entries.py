@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret key of the surrogates, from the session's panelforge.surrogates.key; a public one for tests if it is not set."""
+    return spark.conf.get("panelforge.surrogates.key", pii.DEFAULT_KEY)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents"))
+    return pii.replace_pii(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
