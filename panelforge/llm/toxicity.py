@@ -5,19 +5,22 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from panelforge.llm.common import batch_of, decoded, map_rows, text_rows
+from panelforge.llm.common import batch_of, cut, decoded, map_rows, text_rows
 
 #: Labelled texts that a fit takes at most.
 MAX_TEXTS = 6_000
+#: Bytes that the texts of a fit have together at most; the first by the order of a hash are taken.
+MAX_BYTES = 64_000_000
 #: Distinct features that a fit keeps at most, the most frequent first.
 MAX_FEATURES = 300_000
 #: Cached words of a task before the cache starts anew.
@@ -58,15 +61,28 @@ def features(text: str) -> set[str]:
     return {f for w in set(_WORDS(text.lower())) for f in word_features(w)}
 
 
-def swapped(text: str) -> str | None:
+def swapped(text: str, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> str | None:
     """The text with each identity term replaced by the next of its group; None if it has none."""
-    turn = {a: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, a in enumerate(g)}
+    turn = {a: g[(i + 1) % len(g)] for g in groups for i, a in enumerate(g)}
     words = set(_WORDS(text.lower()))
     if words.isdisjoint(turn):
         return None
     return regex.sub(r"[\p{L}\p{M}]+", lambda m: turn.get(m[0].lower(), m[0]), text)
 
 
+def mentions(text: str, number: int, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> str:
+    """The text with one identity term set among its words; term and place depend on `number`.
+
+    A labelled sentence without a term becomes one that can be swapped; what
+    it says of the group is nothing, so its label stays.
+    """
+    terms, words = [t for g in groups for t in g], text.split(" ")
+    if not terms:
+        return text
+    at = zlib.crc32(str(number).encode()) % (len(words) + 1)
+    return " ".join([*words[:at], terms[number % len(terms)], *words[at:]])
+
+
 @dataclass
 class Model:
     """Weights of the features that the fit left non-zero, and the intercept."""
@@ -86,9 +102,15 @@ def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row, np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
 
 
-def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity: float = 0.02, ridge: float = 1e-4, least_texts: int = 4, rounds: int = 300) -> Model:
+def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity: float = 0.02, ridge: float = 1e-4, least_texts: int = 4, rounds: int = 300, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> Model:
     """Logistic loss + counterfactual * squared change of the log-odds under identity swaps + elastic net.
 
+    Terms that a swap exchanges come from `groups`.  Sentences without one
+    are given one first (`mentions`) and swapped then, so the penalty holds
+    for every group, whether the labelled texts mention it or not: it keeps
+    the weights of all its terms, and of what their beginnings share with
+    other words, at one value.
+
     The weight of the absolute values is `sparsity` over the root of the
     number of examples.  Solved by accelerated proximal gradient steps.  The swapped texts carry no
     label of their own; what they add is the penalty that makes a swap leave
@@ -99,10 +121,15 @@ def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity:
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
         return Model({}, 20.0 if rate == 1 else -20.0)
-    changed = [(i, other) for i, (t, _) in enumerate(examples) if (other := swapped(t)) is not None]
     df: Counter[str] = Counter()
-    for text in chain((t for t, _ in examples), (other for _, other in changed)):
+    changed: list[tuple[str, str]] = []
+    for i, (text, _) in enumerate(examples):
         df.update(features(text))
+        # What a text and its swap share cancels out: for a text without a term the planted term alone will do.
+        before = text if swapped(text, groups) is not None else mentions("", i, groups)
+        if (after := swapped(before, groups)) is not None:
+            changed.append((before, after))
+            df.update(features(after) if before is text else features(before) | features(after))
     frequent = sorted((f for f, k in df.items() if k >= least_texts), key=lambda f: (-df[f], f))
     names = sorted(frequent[:MAX_FEATURES])
     del df, frequent
@@ -112,7 +139,7 @@ def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity:
         return np.fromiter(sorted(index[f] for f in features(text) & index.keys()), np.int32)
 
     sets = [numbered(t) for t, _ in examples]
-    pairs = [(sets[i], numbered(other)) for i, other in changed]
+    pairs = [(numbered(before), numbered(after)) for before, after in changed]
     r, c = _csr(sets)
     pr, pc = _csr([np.setdiff1d(a, b) for a, b in pairs])
     mr, mc = _csr([np.setdiff1d(b, a) for a, b in pairs])
@@ -156,20 +183,25 @@ def fit(examples: list[tuple[str, int]], counterfactual: float = 1.0, sparsity:
     return Model({f: float(x) for f, x in zip(names, w) if x}, float(b))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, fold: int = 2, folds: int = 4) -> list[tuple[str, int]]:
+def sample_of(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, fold: int = 2, folds: int = 4, max_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
     """(text, label) of at most `max_texts` labelled rows whose crc32(doc_id) mod `folds` is not `fold`.
 
-    Taken by the order of a hash, so reruns agree.  Rows without doc_id, text
-    or label give none; of several labels of a document each is an example.
+    Taken by the order of a hash, as long as their texts have `max_bytes`
+    bytes together, so reruns agree.  Rows without doc_id, text or label give
+    none; equal rows count once; of several labels of a document each is an
+    example, and of several texts of a doc_id the least is.
     """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label is not null")
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label is not null").distinct()
     chosen = (
         marked.filter(F.crc32(F.col("doc_id").cast("string")) % folds != fold)
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(max_texts)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", F.xxhash64("doc_id").alias("h"), "doc_id").limit(2 * max_texts).collect()
+    found = cut(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label")  # over max_texts rows at most
+    sizes = found.select("doc_id", "label", F.sum(F.octet_length("text")).over(so_far).alias("size")).filter(F.col("size") <= max_bytes)
+    rows = found.join(F.broadcast(sizes), ["doc_id", "label"]).select("text", "label", F.xxhash64("doc_id").alias("h"), "doc_id").collect()
     return [(x["text"], x["label"]) for x in sorted(rows, key=lambda x: (x["h"], x["doc_id"], x["label"]))]
 
 
@@ -196,8 +228,9 @@ class Scorer:
 def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted for every row of `docs`, from the whole text alone.
 
-    Null and empty texts score the intercept; null doc_ids and repeated rows
-    stay; an empty table gives none.
+    Null and empty texts score the intercept; texts of any length are read
+    whole; null doc_ids and repeated rows stay; an empty table gives none;
+    other columns are not read.
     """
 
     def make():
