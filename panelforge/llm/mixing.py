@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import WORD, cut
+from panelforge.llm.common import WORD, cut, fresh
 
 #: Fractions this near to a whole number are whole.
 EPS = 1e-9
@@ -143,25 +143,44 @@ def mixed_sizes(
     return final.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def _size() -> Column:
+    """The number of words of the text."""
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """Copies of every row of `docs` (doc_id, text, source) that mix its sources to target weights.
 
     Size is the number of words; null and empty texts have size 0 and are
     taken as often as the whole part of their source's rate says.  A null
     source is a source of its own, the last one.  Null doc_ids and repeated
-    rows stay, each rounded by itself; an empty table mixes to none.  The
-    outcome depends on the rows alone, so reruns agree.
+    rows stay, each rounded by itself; texts of any length count whole; ties
+    are settled by hashes; an empty table mixes to none; other columns are not
+    read.  The outcome depends on the rows alone, so reruns agree.
     """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size")))
     return mixed_sizes(sized, weights, share, cap, seed)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """The rows of `docs`, with all columns, each as many times as `mix` takes it."""
-    totals = mix(docs, weights, share, cap, seed).groupBy("doc_id", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    totals = totals.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "_copies", "_n").filter("_copies > 0")
-    each = docs.join(totals, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.col("text").asc_nulls_last()))
-    copies = F.expr("_copies div _n").cast("int") + (turn <= F.col("_copies") % F.col("_n")).cast("int")
-    return each.withColumn("_k", copies).select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col("_k"))).alias("_")).drop("_")
+    """The rows of `docs`, with all columns, each as many times as `mix` takes a row of its doc_id, source and size.
+
+    Rows that agree in these three are dealt their copies by the order of
+    their texts; a null doc_id or source agrees with a null.  Only the keys
+    of rows that share theirs with another row are ranked, so texts are not
+    shuffled but for the join with their copies.
+    """
+    key = [fresh(docs, n) for n in ("mix_id", "mix_of", "mix_size")]
+    total, many, turn, again = (fresh(docs, n) for n in ("mix_copies", "mix_n", "mix_turn", "mix_again"))
+    names = [f"`{c}`" for c in docs.columns]
+    sums = mix(docs, weights, share, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(total), F.count("*").alias(many))
+    sums = sums.filter(F.col(total) > 0).select(*[F.coalesce(F.xxhash64(F.lit(i), c), F.lit(0)).alias(k) for i, (c, k) in enumerate(zip(("doc_id", "source", "size"), key))], total, many)
+    own = (F.col("doc_id").cast("long"), F.col("source").cast("string"), _size())
+    keyed = docs.select(*names, *[F.xxhash64(F.lit(i), c).alias(k) for i, (c, k) in enumerate(zip(own, key))])
+    each = keyed.join(sums, key)
+    alone = each.filter(F.col(many) == 1).select(*names, F.col(total).cast("int").alias(turn))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("text").asc_nulls_last()))
+    shared = each.filter(F.col(many) > 1).withColumn(turn, rank)
+    copies = F.expr(f"{total} div {many}").cast("int") + (F.col(turn) <= F.col(total) % F.col(many)).cast("int")
+    dealt = alone.unionByName(shared.select(*names, copies.alias(turn)))
+    return dealt.select(*names, F.explode(F.array_repeat(F.lit(True), F.col(turn))).alias(again)).drop(again)

@@ -195,7 +195,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     steps = best_fit_plan(counts, capacity)
     by_size = [(size, sorted((s[1], s[3], s[4], s[5]) for s in steps if s[0] == size)) for size in sorted(counts)]
     plan = spark.createDataFrame(by_size, "length long, steps array<struct<first:long,bin:long,each:long,at:long>>")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions(spark))))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in columns]), F.lit(partitions(spark))))
     order = Window.partitionBy("length").orderBy("_salt")
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")
@@ -212,8 +212,9 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """One row for each piece of `docs`, with the sequence it goes to and its offset there.
 
-    Null and empty texts hold the end id alone; repeated rows are packed each;
-    null doc_ids stay; an empty table packs to none; other columns are not read.
+    Null and empty texts hold the end id alone; texts of any length are
+    encoded whole, then cut; repeated rows are packed each; null doc_ids stay;
+    an empty table packs to none; other columns are not read.
     """
     return pack(cut(token_pieces(docs, tokenizer_path, capacity, end_id)), capacity)
 

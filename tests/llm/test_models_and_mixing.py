@@ -23,6 +23,11 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert gap(plain) > 0.05 and gap(fair) < gap(plain) / 3
     assert fair.score("you stupid scum") > 0.5 > fair.score("river stone")
     assert toxicity.swapped("Black cats") == "white cats" and toxicity.swapped("no terms") is None
+    no_terms = toxicity.fit([(t.replace("muslims", "people").replace("christians", "people"), y) for t, y in data])
+    assert no_terms.score("the women met") == no_terms.score("the men met") and no_terms.score("you stupid scum") > 0.5
+    words = [w for g in toxicity.IDENTITY_GROUPS for w in g]
+    assert all(toxicity.swapped(toxicity.mentions("so it is", i)) is not None for i in range(len(words)))
+    assert toxicity.fit(data, groups=()).score("you stupid scum") > 0.5
     assert toxicity.fit([]).score("x") < 0.01 and toxicity.fit([("x", 0)]).score("") < 0.01
 
 
@@ -46,6 +51,9 @@ def test_toxicity_of_odd_rows_and_held_out_accuracy(spark):
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2) for x in got if x["doc_id"] is not None)
     assert sum(x["predicted"] == marks[x["doc_id"]] for x in held) > 0.97 * len(held)
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got)
+    twice = docs.unionByName(docs)
+    assert toxicity.sample_of(twice, labels.unionByName(labels)) == toxicity.sample_of(docs, labels) == toxicity.sample_of(docs.repartition(5), labels)
+    assert 0 < sum(len(t.encode()) for t, _ in toxicity.sample_of(docs, labels, max_bytes=5000)) <= 5000
     model = toxicity.fit(toxicity.sample_of(docs, labels))
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(x["predicted"] == 0 for x in got)
@@ -66,10 +74,22 @@ def greedy_phrases(text, sample):
 def test_cross_parsing_matches_brute_force():
     r = random.Random(4)
     samples = {"a": "".join(r.choice("abc d") for _ in range(400)), "b": "".join(r.choice("bcde f") for _ in range(300))}
-    models = language.Models(samples)
-    texts = ["".join(r.choice("abcdefg ") for _ in range(n)) for n in (0, 1, 5, 100, 511, 512)]
-    got = models.phrases(texts)
-    assert got.tolist() == [[greedy_phrases(t, samples[x]) for x in models.languages] for t in texts]
+    samples |= {"han": "".join(chr(0x4E00 + r.randrange(60)) for _ in range(500)), "kana": "".join(chr(0x3041 + r.randrange(40)) for _ in range(400)), "long": "ab" * 300}
+    texts = ["".join(r.choice("abcdefg ") for _ in range(n)) for n in (0, 1, 5, 100, 511, 512, 513, 2000, 20000)]
+    texts += ["".join(chr(0x4E00 + r.randrange(70)) for _ in range(n)) for n in (513, 3000)] + ["ab" * 3000, "a" * 1500, "\U00020000" * 600]
+    for table_bytes in (language.TABLE_BYTES, 0):
+        models = language.Models(samples, table_bytes)
+        got = models.phrases(texts)
+        assert got.tolist() == [[greedy_phrases(t, samples[x]) for x in models.languages] for t in texts]
+
+
+def test_scripts_with_many_letters_are_told_apart():
+    r = random.Random(9)
+    speak = {k: ["".join(chr(a + r.randrange(n)) for _ in range(r.randint(1, 3))) for _ in range(150)] for k, a, n in (("han", 0x4E00, 2000), ("hangul", 0xAC00, 2000), ("arabic", 0x621, 26), ("latin", 97, 26))}
+    say = lambda k, n: " ".join(r.choice(speak[k]) for _ in range(n))
+    models = language.Models({k: say(k, 2000) for k in speak})
+    texts = [(k, say(k, 15)) for k in speak for _ in range(20)]
+    assert language.predict(models, [t for _, t in texts])[0] == [k for k, _ in texts]
 
 
 def test_language_ids(spark):
@@ -108,11 +128,30 @@ def test_top_k_is_exact(spark):
             s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))[:5]
             want |= {(q, k + 1, i, -x) for k, (x, i) in enumerate(s)}
     for block in (8192, 37):
-        got = topk.top_k(df, F.col("vec_id") % 50 == 0, index_block=block, query_block=5)
+        got = topk.top_k(df.withColumn("ib", F.lit("x")), F.col("vec_id") % 50 == 0, index_block=block)
         assert {tuple(x) for x in got.collect()} == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_stops_on_proof_and_skips_blocks():
+    r = np.random.default_rng(3)
+    vectors = np.floor(256 * r.normal(0, 0.125, (3000, 64))).astype(np.int64)
+    vectors[:500] //= 16
+    ids = np.arange(3000) * 7 % 3001
+    index = topk.ImpactIndex(ids, vectors)
+    for i in range(0, 3000, 100):
+        score = vectors @ vectors[i]
+        want = sorted(((int(-s), int(k)) for s, k in zip(score, ids) if k != ids[i]))[:5]
+        assert [(-s, k) for s, k in index.search(vectors[i], ids[i], 5)] == want
+        bar = -want[-1][0]
+        assert [(-s, k) for s, k in index.search(vectors[i], ids[i], 5, bar)] == want
+        assert index.bound(vectors[i]) >= -want[0][0]
+    assert index.read["proven"] == index.read["queries"] == 60
+    assert index.read["postings"] < 0.95 * index.read["held"] and index.read["rescored"] < 0.02 * 60 * 3000
+    huge = topk.ImpactIndex(np.arange(3), np.array([[1 << 40, 5], [1 << 41, -7], [-(1 << 40), 3]]))
+    assert huge.search(np.array([1 << 40, 2]), 0, 2) == [((1 << 81) - 14, 1), (-(1 << 80) + 6, 2)]
+
+
 def water(sizes, weights=(5, 2, 1), share=1.5, cap=2):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -151,6 +190,13 @@ def test_mixing_targets_bounds_and_reruns(spark):
     copies = mixing.mixed_documents(docs)
     assert copies.columns == docs.columns and copies.count() == sum(x["copies"] for x in got)
     assert mixing.mix(docs.limit(0)).count() == 0
+    clash = docs.withColumn("_id", F.lit(1)).withColumn("_of", F.lit("x")).withColumn("mix_n", F.lit(3))
+    assert mixing.mixed_documents(clash).columns == clash.columns
+    one_id = spark.createDataFrame([(1, "w " * n, "a") for n in (5, 50, 50, 500)] + [(None, "w " * 7, None), (2, "w " * 600, "b")], "doc_id long, text string, source string")
+    by_size = Counter({(x["source"], x["size"]): 0 for x in mixing.mix(one_id).collect()})
+    for x in mixing.mix(one_id).collect():
+        by_size[x["source"], x["size"]] += x["copies"]
+    assert Counter((x["source"], len(x["text"].split())) for x in mixing.mixed_documents(one_id).collect()) == +by_size
 
 
 def test_pivotal_rounding_is_unbiased(spark):
@@ -194,7 +240,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert all(0 <= int(x) <= 255 for x in one["169.122.221.182"][1].split("."))
     john, smith = one["Mr. John Smith"][1].split(), one["Mr. Smith"][1].split()
     assert john[0] == "Mr." and john[1] in pii.GIVEN["latin m"] and john[2] == smith[1]
-    assert one["Mrs Klara Weber"][1].split()[1].endswith("a") and one["г-жа Анна Петрова"][1].split()[1] in pii.GIVEN["cyrillic f"]
+    assert one["Mrs Klara Weber"][1].split()[1].endswith("a") and one["Mrs Klara Weber"][1].split()[1] != "Klara" and one["г-жа Анна Петрова"][1].split()[1] in pii.GIVEN["cyrillic f"]
     susan = one["Susan Smith"][1].split()
     assert susan[0] in pii.GIVEN["latin f"] and susan[1] == smith[1]
     assert {e["entity"]: e["surrogate"] for e in found[2]["pii"]} == {k: one[k][1] for k in ("169.122.221.182", "Mr. John Smith")}
@@ -203,6 +249,64 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert pii.replace_pii(docs.limit(0)).count() == 0
 
 
+def test_a_person_has_one_surrogate_in_all_forms(spark):
+    text = "Mr. Zoran Brandt and Dr. Zoran Brandt. Later Brandt spoke, Zoran too, Brandts not. My name is Bogdan Weiser; Weiser it is. Dr. Νικος Παπας."
+    docs = spark.createDataFrame([(1, text, "x", "y"), (2, "Brandt and Zoran without a person", "x", "y")], "doc_id long, text string, found string, items string")
+    got = {x["doc_id"]: x for x in pii.with_surrogates(docs, "k").collect()}
+    new = got[1]["text"]
+    one = {e["entity"]: e["surrogate"] for e in got[1]["pii"]}
+    given, family = one["Mr. Zoran Brandt"].split()[1:]
+    assert one["Dr. Zoran Brandt"] == f"Dr. {given} {family}" and one["Brandt"] == family and one["Zoran"] == given
+    assert f"Later {family} spoke, {given} too, Brandts not." in new and one["Weiser"] == one["Bogdan Weiser"].split()[1]
+    assert not {"Zoran", "Bogdan", "Weiser", "Νικος", "Παπας"} & set(new.replace(".", " ").replace(";", " ").split())
+    assert got[2]["text"] == "Brandt and Zoran without a person" and got[1]["found"] == "x"
+    digits = spark.createDataFrame([(1, "Rest AB12, to 10.0.0.1 and Mail CD34"), (2, "Rest AB12, to 10.0.0.1 and Mr. Mail CD34")], "doc_id long, text string")
+    texts = {x["doc_id"]: x["text"] for x in pii.with_surrogates(digits, "k").collect()}
+    assert texts[1].startswith("Rest AB12, to ") and texts[1].endswith(" and Mail CD34") and texts[2].startswith("Rest AB12, to ") and texts[2].endswith(" CD34")
+    assert pii.with_surrogates(docs, "other").filter("doc_id = 1").first()["text"] != new
+
+
+def iban_valid(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_no_surrogate_is_its_entity_and_ibans_stay_valid(spark):
+    names = [a + b for a in "ABKLZŁЖ" for b in "abeoxłж"]
+    entities = [f"Dr. {n}" for n in names] + [f"{a}@{b}.org" for a in ("a", "7", "x_y") for b in ("q", "mail")] + [f"192.168.0.{i}" for i in range(40)]
+    entities += ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "+1 555 123 4567", "123-45-6789", "sk-" + "a1" * 12, "AKIA" + "A1B2" * 4]
+    docs = spark.createDataFrame([(i, f"see {e} now") for i, e in enumerate(entities)], "doc_id long, text string")
+    found = {e["entity"]: e for x in pii.with_surrogates(docs, "k").collect() for e in x["pii"]}
+    assert sorted(found) == sorted(entities) and all(e["surrogate"] != k for k, e in found.items())
+    assert len({e["surrogate"] for e in found.values()}) == len(entities)
+    assert all(iban_valid(e["surrogate"]) for e in found.values() if e["kind"] == "iban")
+
+
+def test_long_adversarial_texts_do_not_break_the_patterns(spark):
+    n = 200_000
+    texts = {
+        "email": "x@" + "a." * n + "1", "emails": "a@" * n, "hosts": "x@a.b-" * (n // 6), "local": "a" * n + "@b.com", "secret": "a_" * n, "key": "sk-" + "a1" * n, "hex": "0a" * n,
+        "iban": "DE12" + " AB12" * (n // 5), "ipv4": "1.1.1.1." * (n // 8), "phone": "+1 " + "12 " * n, "card": "4111 " * (n // 5), "ssn": "123-45-" * (n // 7),
+        "person": "Mr. A" + "a" * n, "people": "Mr. " + "Aa " * (n // 3), "address": "Dr. " * (n // 4),
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = pii.with_surrogates(docs, "k").select("doc_id", F.length("text").alias("n"), F.size("pii").alias("found")).collect()
+    assert sorted((x["doc_id"], x["n"]) for x in got) == [(i, len(t)) for i, t in enumerate(texts.values())]
+
+
+def test_shared_surrogates_are_drawn_anew(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a@b.com and c@d.com")], "doc_id long, text string")
+    real, keys = pii.with_surrogates, []
+
+    def first_fails(docs, key, into="pii"):
+        keys.append(key)
+        new = real(docs, key, into)
+        return new if len(keys) > 1 else new.withColumn(into, F.transform(into, lambda e: F.struct(e["kind"].alias("kind"), e["entity"].alias("entity"), F.lit("same").alias("surrogate"))))
+
+    monkeypatch.setattr(pii, "with_surrogates", first_fails)
+    assert len({e["surrogate"] for e in pii.checked_surrogates(docs, "k").first()["pii"]}) == 2 and keys == ["k", "k/1"]
+
+
 def test_surrogates_are_one_to_one(spark):
     some = spark.range(3000).select(
         F.col("id").alias("doc_id"),
