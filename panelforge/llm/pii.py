@@ -97,13 +97,14 @@ def _let(value: Column, then) -> Column:
 
 def _moved(s: Column, amount, alphabets: tuple[str, ...]) -> Column:
     """Each character of `s`, from the first on, moved in its alphabet by amount(place); characters of no alphabet stay."""
+    # All alphabets in a row and, by place in it, a character whose code less 48 is the place in the alphabet or its size.
+    every = F.lit("".join(alphabets))
+    places, sizes = F.lit("".join(chr(48 + i) for a in alphabets for i in range(len(a)))), F.lit("".join(chr(48 + len(a)) for a in alphabets for _ in a))
+    number = lambda codes, at: F.ascii(F.substring(codes, at, F.lit(1))) - 48
 
     def one(c: Column, i: Column) -> Column:
-        moved = []
-        for a in alphabets:
-            at = F.instr(F.lit(a), c)
-            moved.append((at > 0, F.substring(F.lit(a), F.pmod(at - 1 + amount(i), F.lit(len(a))) + 1, F.lit(1))))
-        return reduce(lambda w, m: w.when(*m), moved[1:], F.when(*moved[0])).otherwise(c)
+        new = lambda at: F.substring(every, at - number(places, at) + F.pmod(number(places, at) + amount(i), number(sizes, at)), F.lit(1))
+        return _let(F.instr(every, c), lambda at: F.when(at > 0, new(at)).otherwise(c))
 
     return F.when(F.length(s) == 0, s).otherwise(F.array_join(F.transform(F.split(s, ""), one), ""))
 
@@ -204,15 +205,11 @@ def _phone(s: Column, key: Column) -> Column:
 
 def _listed(name: Column, names: tuple[str, ...], key: Column) -> Column:
     """Another name of the list: all moved by one keyed amount, never 0."""
-    move = F.pmod(F.xxhash64(key), F.lit(len(names) - 1)) + 1
-    listed = F.array(*[F.lit(n) for n in names])
+    move = F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 6), 16, 10).cast("int"), F.lit(len(names) - 1)) + 1
+    listed = F.split(F.lit("|".join(names)), r"\|")
     return F.element_at(listed, (F.pmod(F.array_position(listed, name) - 1 + move, F.lit(len(names))) + 1).cast("int"))
 
 
-def _known() -> Column:
-    return F.array(*[F.lit(n) for names in GIVEN.values() for n in names])
-
-
 def _given(name: Column, key: Column) -> Column:
     """A listed name gives another of its gender and script; any other a name of its letters' classes.
 
@@ -226,18 +223,14 @@ def _given(name: Column, key: Column) -> Column:
         end = F.regexp_extract(x, f"({_ENDING[:-1]})$", 1)
         return F.concat(scramble(F.substring(x, F.lit(1), F.length(x) - F.length(end)), F.concat(key, end), _NAME_ALPHABETS), end)
 
-    times = sum(map(len, GIVEN.values())) + 1
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(times)), name, lambda x, i: F.when((i == 1) | F.array_contains(_known(), x), other(x)).otherwise(x))
-    cases = F.when(F.lit(False), name)
+    times, known = sum(map(len, GIVEN.values())) + 1, f"^(?:{_LISTED})$"
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(times)), name, lambda x, i: F.when((i == 1) | x.rlike(known), other(x)).otherwise(x))
+    cases = F.when(name == "", name)
     for names in GIVEN.values():
-        cases = cases.when(F.array_contains(F.array(*[F.lit(n) for n in names]), name), _listed(name, names, key))
+        cases = cases.when(name.rlike(f"^(?:{'|'.join(names)})$"), _listed(name, names, key))
     return cases.otherwise(walked)
 
 
-def _family(name: Column, key: Column) -> Column:
-    return scramble(name, F.concat(key, F.lit("family")), _NAME_ALPHABETS)
-
-
 def _parts(s: Column) -> tuple[Column, Column, Column]:
     """A person's form of address, given name and family name; the first two may be empty."""
     parts = F.split(s, " ")
@@ -246,10 +239,14 @@ def _parts(s: Column) -> tuple[Column, Column, Column]:
     return F.when(addressed, parts[0]).otherwise(""), given, F.element_at(parts, -1)
 
 
-def _person(s: Column, key: Column) -> Column:
-    """The form of address stays; given and family names each have one image in all forms."""
+def _person(s: Column, kind: Column, key: Column) -> Column:
+    """The form of address stays; given and family names each have one image in all forms, alone too."""
     address, given, family = _parts(s)
-    return F.concat_ws(" ", F.when(address != "", address), F.when(given != "", _given(given, key)), _family(family, key))
+    address = F.when((kind == "person") & (address != ""), address)
+    given = F.when(kind == "given name", s).when(kind == "family name", "").otherwise(given)
+    family = F.when(kind == "given name", "").otherwise(family)
+    names = (_given(given, key), scramble(family, F.concat(key, F.lit("family")), _NAME_ALPHABETS))
+    return F.concat_ws(" ", address, *[_let(x, lambda n: F.when(n != "", n)) for x in names])
 
 
 def kind_of(s: Column) -> Column:
@@ -271,9 +268,7 @@ def surrogate(entity: Column, kind: Column, key: str) -> Column:
         .when(kind == "phone", _phone(entity, k["phone"]))
         .when(kind == "card", _card(entity, k["card"]))
         .when(kind == "ssn", scramble(entity, k["ssn"], (_DIGITS,)))
-        .when(kind == "family name", _family(entity, k["person"]))
-        .when(kind == "given name", _given(entity, k["person"]))
-        .otherwise(_person(entity, k["person"]))
+        .otherwise(_person(entity, kind, k["person"]))
     )
 
 
