@@ -92,17 +92,24 @@ HOT_SHARE = 1 / 1000
 HOT_ROWS = 500
 
 
-def hot_keys(counted: DataFrame, total: int, *on: str, n: str = "n") -> DataFrame:
-    """The keys `on` of `counted` that hold over `HOT_SHARE` of `total` rows: 1,000 at most, whatever the data."""
-    return counted.filter(F.col(n) > max(HOT_ROWS, int(total * HOT_SHARE))).select(*on)
+def hot_keys(counted: DataFrame, total: int, *on: str, n: str = "n") -> DataFrame | None:
+    """The keys `on` of `counted` that hold over `HOT_SHARE` of `total` rows, None if there are none.
+
+    There are 1,000 at most, whatever the data, so they may pass the driver.
+    """
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = counted.filter(F.col(n) > least).select(*on).collect() if total > least else []
+    return counted.sparkSession.createDataFrame(hot, counted.select(*on).schema) if hot else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """`left.join(right, on, how)` with the rows of `hot` keys dealt over as many tasks as there are partitions.
 
     `hot` is bounded (`hot_keys`) and broadcast; the rows of `right` with such
     a key, few for each, go to all of these tasks.
     """
+    if hot is None:
+        return left.join(right, on, how)
     salts, salt, flag = partitions(left.sparkSession), fresh(left, "salt", *right.columns), fresh(left, "hot", *right.columns)
     known = F.broadcast(hot.withColumn(flag, F.lit(True)))
     whole = F.array(F.lit(0))

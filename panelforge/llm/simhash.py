@@ -83,7 +83,7 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = BUCKET_LIMIT
     # Keys of buckets that hold a large share of all fingerprints, and the keys that their balls probe: 33 for each.
     very = hot_keys(sizes, total, "seg", "key")
     around = F.transform(_masks(0, 32), lambda m: F.col("key").bitwiseXOR(m))
-    probed = very.select("seg", F.explode(F.when(F.col("seg") == 0, around).otherwise(F.array("key"))).alias("key")).distinct()
+    probed = very and very.select("seg", F.explode(F.when(F.col("seg") == 0, around).otherwise(F.array("key"))).alias("key")).distinct()
     large = sizes.filter(F.col("n") > bucket_limit).select("seg", "key", F.lit(True).alias("hot"))
     tables = cut(spread_join(tables, large, ["seg", "key"], very, "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     ball = F.transform(_masks(32, 64), lambda m: F.struct(F.lit(0).alias("seg"), F.shiftrightunsigned(F.col("fp").bitwiseXOR(m), 32).alias("key")))

@@ -24,7 +24,7 @@ from panelforge.llm.suffix import maximal_repeats, suffix_array
 SEGMENT = 1 << 20
 CONTEXT_BYTES = 1 << 19
 #: Different contexts that a suffix array takes of one anchor; those of a hotter anchor are split by longer common parts.
-ANCHOR_LIMIT = 4096
+ANCHOR_LIMIT = 1024
 #: Bytes of an anchor's k-gram.
 GRAM = 32
 #: A run of starts travels as one number: its first start, its last and its anchor past that, 7 bits each for these.
@@ -312,7 +312,7 @@ def deduplicated(docs: DataFrame, length: int = 100, anchor_limit: int = ANCHOR_
     empty = hashlib.sha256(b"").hexdigest()
     ids = cut(_text(docs).select("doc_id", "d", "t", "sha", F.length("raw").cast("long").alias("n_bytes")))
     total = ids.count()
-    first = ids.groupBy("sha").agg(F.min("d").alias("first_d"), F.count("*").alias("n"))
+    first = cut(ids.groupBy("sha").agg(F.min("d").alias("first_d"), F.count("*").alias("n")))
     known = spread_join(ids, first.drop("n"), ["sha"], hot_keys(first, total, "sha"))
     known = cut(known.withColumn("copy", (F.col("d") > F.col("first_d")) & (F.col("n_bytes") >= length)))
     repeated = hot_keys(ids.groupBy("d", "t").agg(F.count("*").alias("n")), total, "d", "t")

@@ -140,7 +140,7 @@ def test_hot_anchors_split_into_stretches(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     flags = removed(rows, 100)
     want = {d: (len(flags[d, t]), sum(1 for i in flags[d, t] if i - 1 not in flags[d, t])) for d, t in rows}
-    for limit in (4096, 20, 2):
+    for limit in (1024, 20, 2):
         got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.deduplicated(docs, anchor_limit=limit).collect()}
         assert got == want
 
@@ -150,9 +150,9 @@ def test_spread_join_is_a_join(spark):
     right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k long, v string")
     counted = left.groupBy("k").agg(F.count("*").alias("n"))
     hot = common.hot_keys(counted, 3000, "k")
-    assert 0 < hot.count() <= 1000
-    for how in ("inner", "left"):
-        got = common.spread_join(left, right, ["k"], hot, how)
+    assert 0 < hot.count() <= 1000 and common.hot_keys(counted, 10**9, "k") is None
+    for how, keys in (("inner", hot), ("left", hot), ("left", None)):
+        got = common.spread_join(left, right, ["k"], keys, how)
         assert got.columns == ["k", "id", "v"] and sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
 
 
