@@ -5,6 +5,7 @@ from __future__ import annotations
 from panelforge.catalog import ctes as c
 from panelforge.catalog.eda import MON, _brand
 from panelforge.catalog.registry import query
+from panelforge.functions.storage import cut
 from panelforge.operators import features as ft
 from panelforge.operators import selection as se
 from panelforge.operators.stats import DAYS_OF_WEEK, MONTHS
@@ -26,7 +27,7 @@ pm2 AS (SELECT *, max(m) OVER w AS mx, min(m) OVER w AS mn, m - lag(m) OVER (PAR
 pd2 AS (SELECT *, d - lag(d) OVER (PARTITION BY household_id ORDER BY dow) AS dd FROM pd),
 am AS (SELECT household_id, """
             + ", ".join(f"max(m) FILTER (month = {i + 1}) AS {x}" for i, x in enumerate(MON))
-            + """, stddev_samp(m) AS m_std, max(m) AS m_max, min(m) AS m_min, sum(m) AS m_sum, min(month) FILTER (m = mx) AS pk, min(month) FILTER (m = mn) AS tr,
+            + """, stddev_samp(m) AS m_std, max(m) AS m_max, min(m) AS m_min, sum(m) AS m_sum, min(month) FILTER (abs(m - mx) <= 1e-9 * greatest(1, abs(mx))) AS pk, min(month) FILTER (abs(m - mn) <= 1e-9 * greatest(1, abs(mn))) AS tr,
   avg(abs(dm)) AS dm_abs, stddev_samp(dm) AS dm_std, avg(m) FILTER (month IN (12, 1, 2)) AS win, avg(m) FILTER (month IN (6, 7, 8)) AS smr,
   avg(m) FILTER (month <= 3) AS q1, avg(m) FILTER (month BETWEEN 4 AND 6) AS q2, avg(m) FILTER (month BETWEEN 7 AND 9) AS q3, avg(m) FILTER (month >= 10) AS q4,
   sum(m) FILTER (top <= 3) AS top3, -sum((m / (sm + 1e-6)) * ln(greatest(m / (sm + 1e-6), 0) + 1e-10)) AS ent,
@@ -220,14 +221,14 @@ kept AS (SELECT feature, block, avg(x) AS mu, stddev_pop(x) AS sd FROM long GROU
 SELECT household_id, feature, (x - mu) / sd * CASE block {_WEIGHT} END / sqrt(n) AS value FROM long JOIN kept USING (feature, block) JOIN n USING (block)""",
 )
 def r10(spark, d):
-    raw = ft.ward_features(_brand(spark, d))
+    raw = cut(ft.ward_features(_brand(spark, d)))
     done = se.fit_selection(raw).transform(raw)
     return done.unpivot(["household_id"], se.feature_columns(done), "feature", "value")
 
 
 @query("r12_retained_blocks", "block n_kept", "")
 def r12(spark, d):
-    kept = se.fit_selection(ft.ward_features(_brand(spark, d))).summary["kept_by_block"]
+    kept = se.fit_selection(cut(ft.ward_features(_brand(spark, d)))).summary["kept_by_block"]
     return spark.createDataFrame(sorted(kept.items()), "block string, n_kept long")
 
 

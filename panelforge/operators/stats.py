@@ -157,9 +157,14 @@ def trend_p_values(trend: DataFrame) -> DataFrame:
 
 
 def first_extreme(values: list[Column], largest: bool = True) -> Column:
-    """The place, from 1, of the largest (or smallest) non-null value; the first of equals."""
+    """The place, from 1, of the largest (or smallest) non-null value; the first of equals.
+
+    Means that are equal in truth may differ in their last bits, by the order
+    in which partitions were summed: values within 1e-9 of the extreme count as equal to it.
+    """
     best = F.greatest(*values) if largest else F.least(*values)
-    return reduce(lambda w, iv: w.when(iv[1] == best, iv[0]), enumerate(values[1:], 2), F.when(values[0] == best, 1)).cast("int")
+    equal = lambda v: F.abs(v - best) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(best))
+    return reduce(lambda w, iv: w.when(equal(iv[1]), iv[0]), enumerate(values[1:], 2), F.when(equal(values[0]), 1)).cast("int")
 
 
 VARIATION = Block(month_aggregates, lambda: {"monthly_profile_std": array_std(F.array(*month_columns()))})

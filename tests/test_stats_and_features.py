@@ -92,3 +92,13 @@ def test_selection_fits_and_transforms(spark):
     reduced = se.fit_selection(df, blocks, {}, set(), use_pca=True)
     pcs = reduced.transform(df).toPandas().drop(columns="household_id").to_numpy()
     assert np.abs(np.corrcoef(pcs.T) - np.eye(pcs.shape[1])).max() < 1e-6
+
+
+def test_equal_months_tie_to_the_first(spark):
+    # February and October are both empty: their standardised means are equal but for their last bits.
+    rows = [(i, d, 0.0 if d.month in (2, 10) else 1.0 + (d.toordinal() * (7 + i)) % 13 / 3) for i in range(6) for d in (date(2023, 1, 1) + timedelta(days=k) for k in range(365))]
+    df = spark.createDataFrame(rows, pn.SCHEMA)
+    for n in (1, 3, 16):
+        for r in ft.shape_features(df.repartition(n)).collect():
+            assert (r["norm_trough_month_sin"], r["norm_trough_month_cos"]) == pytest.approx((math.sin(2 * math.pi * 2 / 12), math.cos(2 * math.pi * 2 / 12)))
+        assert all(r["trough_month_sin"] == pytest.approx(math.sin(2 * math.pi * 2 / 12)) for r in ft.energy_features(df.repartition(n)).collect())
