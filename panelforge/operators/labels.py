@@ -110,9 +110,10 @@ def reassign_special(panel: DataFrame, labels: DataFrame, keep_from: int = KEEP_
     """Labels in which large special groups are clusters of their own and the rest joins the nearest profile.
 
     Special labels of `keep_from` households or more become clusters after
-    the last one, by ascending label.  Others go to the cluster whose mean
-    standardised profile is nearest, the smallest number on ties; as many
-    profiles as clusters are broadcast.
+    the last one, by ascending label.  Others go to the cluster, be it one of
+    these or a regular one, whose mean standardised profile is nearest, the
+    smallest number on ties; as many profiles as clusters are broadcast.
+    Without any cluster there is nothing to join, which is an error.
     """
     if labels.filter("cluster is null").limit(1).collect():
         raise PanelError("a label is missing")
@@ -121,11 +122,13 @@ def reassign_special(panel: DataFrame, labels: DataFrame, keep_from: int = KEEP_
     large = special.groupBy(CLUSTER).agg(F.count("*").alias("n")).filter(F.col("n") >= keep_from)
     new = large.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(CLUSTER))).crossJoin(F.broadcast(top)).select(CLUSTER, (F.col("_top") + F.col("_k")).cast("int").alias("_new"))
     mapped = special.join(F.broadcast(new), CLUSTER, "left")
-    kept = mapped.filter("_new is not null").select(ID, F.col("_new").alias(CLUSTER))
+    whole = regular.select(ID, CLUSTER).unionByName(mapped.filter("_new is not null").select(ID, F.col("_new").cast("int").alias(CLUSTER)))
     rest = mapped.filter("_new is null").select(ID)
+    if whole.isEmpty() and not rest.isEmpty():
+        raise PanelError("there is no cluster that special households could join")
     z = z_rows(panel)
-    near = _profile_sums(z.join(rest, ID, "left_semi"), cluster_profiles(z, regular)).groupBy(ID).agg(F.min_by("_c", F.struct("distance", "_c")).alias(CLUSTER))
-    return regular.select(ID, CLUSTER).unionByName(kept).unionByName(near.select(ID, F.col(CLUSTER).cast("int").alias(CLUSTER)))
+    near = _profile_sums(z.join(rest, ID, "left_semi"), cluster_profiles(z, whole)).groupBy(ID).agg(F.min_by("_c", F.struct("distance", "_c")).alias(CLUSTER))
+    return whole.unionByName(near.select(ID, F.col(CLUSTER).cast("int").alias(CLUSTER)))
 
 
 def order_keys(panel: DataFrame, labels: DataFrame) -> DataFrame:
