@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.catalog import ctes as c
 from panelforge.catalog.features import _brand
 from panelforge.catalog.registry import query
+from panelforge.functions.storage import cut
 from panelforge.operators import features as ft
 from panelforge.operators import kshape as ks
 from panelforge.operators import labels as lb
@@ -21,15 +22,15 @@ from panelforge.sources import adapters as ad
 
 B = c.brand(1999)
 GIVEN = "labels AS (SELECT household_id, CAST(CASE WHEN household_id % 10 = 9 THEN -1 WHEN household_id % 10 = 8 THEN -3 WHEN household_id = 7 THEN NULL ELSE household_id % 3 END AS INTEGER) AS cluster FROM (SELECT DISTINCT household_id FROM panel))"
-FULL = "labels AS (SELECT household_id, CAST(CASE WHEN household_id % 10 = 9 THEN -1 WHEN household_id % 10 = 8 THEN -3 ELSE household_id % 3 END AS INTEGER) AS cluster FROM (SELECT DISTINCT household_id FROM panel))"
+FULL = "labels AS (SELECT household_id, CAST(CASE WHEN household_id % 10 = 9 OR household_id = 25 THEN -1 WHEN household_id % 10 = 8 THEN -3 ELSE household_id % 3 END AS INTEGER) AS cluster FROM (SELECT DISTINCT household_id FROM panel))"
 REG = "reg AS (SELECT * FROM labels WHERE cluster >= 0)"
 ZP = f"{c.z()}, zp AS (SELECT cluster, date, avg(consumption) AS mean FROM z JOIN reg USING (household_id) GROUP BY 1, 2), rp AS (SELECT cluster, date, avg(consumption) AS mean FROM panel JOIN reg USING (household_id) GROUP BY 1, 2)"
 
 
 def _given(spark, d, missing=True):
-    """Labels by id: two special groups and, if asked, one missing label."""
+    """Labels by id: two special groups and one missing label, or, with none missing, a special group of 3 and one of 2."""
     i = F.col("household_id")
-    label = F.when(i % 10 == 9, -1).when(i % 10 == 8, -3)
+    label = F.when((i % 10 == 9) if missing else (i % 10 == 9) | (i == 25), -1).when(i % 10 == 8, -3)
     if missing:
         label = label.when(i == 7, None)
     return _brand(spark, d).select(i).distinct().withColumn("cluster", label.otherwise(i % 3).cast("int"))
@@ -78,20 +79,25 @@ def k13b(spark, d):
     return lb.ordered(_brand(spark, d), _given(spark, d, False))
 
 
-REASSIGNED = f"""{ZP}, sp AS (SELECT cluster, count(*) AS n FROM labels WHERE cluster < 0 GROUP BY 1),
-kept AS (SELECT cluster, (SELECT max(cluster) FROM reg) + row_number() OVER (ORDER BY cluster) AS new FROM sp WHERE n >= 3),
-rest AS (SELECT household_id FROM labels WHERE cluster < 0 AND cluster NOT IN (SELECT cluster FROM kept)),
-dist AS (SELECT z.household_id, zp.cluster, sqrt(sum(pow(z.consumption - zp.mean, 2))) AS d FROM z JOIN rest USING (household_id) JOIN zp USING (date) GROUP BY 1, 2),
-final AS (SELECT household_id, cluster FROM reg UNION ALL SELECT household_id, CAST(new AS INTEGER) FROM labels JOIN kept USING (cluster)
-  UNION ALL SELECT household_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY d, cluster) AS r FROM dist) WHERE r = 1)"""
+#: Large special groups are clusters; the rest joins the nearest profile of all clusters, these included.
+REASSIGNED = """sp AS (SELECT cluster, count(*) AS n FROM labels2 WHERE cluster < 0 GROUP BY 1),
+kept AS (SELECT cluster, coalesce((SELECT max(cluster) FROM labels2), -1) + row_number() OVER (ORDER BY cluster) AS new FROM sp WHERE n >= 3),
+whole AS (SELECT household_id, CAST(coalesce(new, labels2.cluster) AS INTEGER) AS cluster FROM labels2 LEFT JOIN kept ON kept.cluster = labels2.cluster),
+near AS (SELECT cluster, date, avg(consumption) AS mean FROM z JOIN whole USING (household_id) WHERE cluster >= 0 GROUP BY 1, 2),
+rest AS (SELECT household_id FROM whole WHERE cluster < 0),
+dist AS (SELECT z.household_id, near.cluster, sqrt(sum(pow(z.consumption - near.mean, 2))) AS d FROM z JOIN rest USING (household_id) JOIN near USING (date) GROUP BY 1, 2),
+final AS (SELECT household_id, cluster FROM whole WHERE cluster >= 0 UNION ALL
+  SELECT household_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY d, cluster) AS r FROM dist) WHERE r = 1)"""
+AS_GIVEN = "labels2 AS (SELECT * FROM labels)"
+ORDERED = "labels2 AS (SELECT household_id, CAST(coalesce(new, labels.cluster) AS INTEGER) AS cluster FROM labels LEFT JOIN rank ON labels.cluster = rank.cluster)"
 
 
-@query("k12_reassigned", "household_id cluster", "", f"{c.ctes(B, FULL, REG, REASSIGNED)} SELECT household_id, cluster FROM final")
+@query("k12_reassigned", "household_id cluster", "", f"{c.ctes(B, FULL, c.z(), AS_GIVEN, REASSIGNED)} SELECT household_id, cluster FROM final")
 def k12(spark, d):
     return lb.reassign_special(_brand(spark, d), _given(spark, d, False), 3)
 
 
-@query("k14_handoff_sizes", "n_households", "pct_households", f"{c.ctes(B, FULL, REG, REASSIGNED)} SELECT count(*) AS n_households, 100.0 * count(*) / sum(count(*)) OVER () AS pct_households FROM final GROUP BY cluster")
+@query("k14_handoff_sizes", "n_households", "pct_households", f"{c.ctes(B, FULL, REG, KEYS, ORDERED, REASSIGNED)} SELECT count(*) AS n_households, 100.0 * count(*) / sum(count(*)) OVER () AS pct_households FROM final GROUP BY cluster")
 def k14(spark, d):
     return lb.handoff(_brand(spark, d), _given(spark, d, False), 3)["sizes"]
 
@@ -366,14 +372,14 @@ def e3(spark, d):
 
 @query("k2_ward_labels", "household_id cluster", "")
 def k2(spark, d):
-    raw = ft.ward_features(_brand(spark, d))
+    raw = cut(ft.ward_features(_brand(spark, d)))
     return lb.ordered(_brand(spark, d), wd.ward(se.fit_selection(raw).transform(raw)).labels(3))
 
 
 @query("k4_kshape_labels", "household_id cluster", "")
 def k4(spark, d):
     rows, _ = ks.kshape_input(_brand(spark, d))
-    return ks.kshape(rows, 2, n_init=1, max_iter=4)[0]
+    return ks.kshape(rows, 2)[0]
 
 
 @query(
@@ -389,11 +395,15 @@ def k3(spark, d):
 
 @query("e4_ward_stability", "run_i run_j", "ari")
 def e4w(spark, d):
-    raw = ft.ward_features(_brand(spark, d))
+    raw = cut(ft.ward_features(_brand(spark, d)))
     fitted = se.fit_selection(raw)
-    matrix = fitted.transform(raw).cache()
-    given = pc.FeatureInput(None, fitted, matrix, wd.ward(matrix))
-    return pc.ward_stability(given, 3, runs=3)
+    matrix = cut(fitted.transform(raw))
+    return pc.ward_stability(pc.FeatureInput(None, fitted, matrix, wd.ward(matrix)), 3).pairs
+
+
+@query("e4_kshape_stability", "run_i run_j", "ari")
+def e4k(spark, d):
+    return pc.kshape_stability(_brand(spark, d), 2).pairs
 
 
 @query("e1_minmax_scores", "k", "s0 s1 s2 s3 s4", f"WITH {EVAL}, {RANK} SELECT * FROM ranked")
@@ -417,8 +427,6 @@ def k11(spark, d):
     return pc.feature_ward(given, 3).labels
 
 
-@query("k14_handoff_profiles", "cluster date", "mean", f"{c.ctes(B, FULL, REG, KEYS)}, labels2 AS (SELECT household_id, CAST(coalesce(new, labels.cluster) AS INTEGER) AS cluster FROM labels LEFT JOIN rank ON labels.cluster = rank.cluster), "
-    + REASSIGNED.replace("labels", "labels2").replace("reg", "reg2").replace(c.z().strip() + ", ", "").replace("zp AS", "zp2 AS").replace("JOIN zp USING", "JOIN zp2 USING").replace("zp.", "zp2.").replace("rp AS", "rp2 AS").strip().replace("zp2 AS", "reg2 AS (SELECT * FROM labels2 WHERE cluster >= 0), zp2 AS", 1)
-    + " SELECT cluster, date, avg(consumption) AS mean FROM panel JOIN final USING (household_id) GROUP BY 1, 2")
+@query("k14_handoff_profiles", "cluster date", "mean", f"{c.ctes(B, FULL, REG, KEYS, ORDERED, REASSIGNED)} SELECT cluster, date, avg(consumption) AS mean FROM panel JOIN final USING (household_id) GROUP BY 1, 2")
 def k14b(spark, d):
     return lb.handoff(_brand(spark, d), _given(spark, d, False), 3)["profiles"]

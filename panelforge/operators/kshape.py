@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from panelforge.functions.storage import cut, drop_cut
 from panelforge.operators.cleaning import DAY, ID, V, z_rows
 
 
@@ -24,8 +24,7 @@ def kshape_input(panel: DataFrame, max_households: int | None = None, seed: int
     ids = panel.select(ID).distinct()
     if max_households is None:
         return series(z_rows(panel)), ids.limit(0)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.md5(F.concat_ws("/", F.col(ID), F.lit(seed))))
-    drawn = ids.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= max_households).select(ID)
+    drawn = ids.orderBy(F.md5(F.concat_ws("/", F.col(ID), F.lit(seed))), ID).limit(max_households)  # each task keeps that many at most
     return series(z_rows(panel.join(drawn, ID, "left_semi"))), ids.join(drawn, ID, "left_anti")
 
 
@@ -114,36 +113,41 @@ def kshape(rows: DataFrame, k: int, *, n_init: int = 5, max_iter: int = 30, seed
     n = rows.count()
     if n < (max(10 * k, k + 1) if least is None else least):
         raise ValueError(f"{n} series are too few for {k} clusters")
-    rows = rows.cache()
+    rows = cut(rows)
+    d = len(rows.first()["v"])
     best: tuple[float, DataFrame, np.ndarray] | None = None
-    try:
-        for run in range(n_init):
-            labels = rows.select(ID, F.pmod(F.xxhash64(ID, F.lit(seed), F.lit(run)), F.lit(k)).cast("int").alias("cluster"))
-            d = len(rows.first()["v"])
-            centroids, state = np.zeros((k, d)), None
-            for _ in range(max_iter):
-                scatter = _scatter(rows, labels, centroids)
-                member = {r["cluster"]: np.array(r["v"]) for r in rows.join(labels, ID).groupBy("cluster").agg(F.min_by("v", ID).alias("v")).collect()}
-                new = centroids.copy()
-                for c in range(k):
-                    if c in scatter:
-                        new[c] = _extract(scatter[c], member[c] if not centroids[c].any() else centroids[c])
-                centroids = new
-                found = _assigned(rows, centroids).cache()
-                counts = {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-                empty = [c for c in range(k) if c not in counts]
-                if empty:
-                    far = found.orderBy(F.desc("distance"), ID).limit(len(empty)).collect()
-                    moved = {r[ID]: c for r, c in zip(far, empty)}
-                    to = F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])
-                    found = found.withColumn("cluster", F.coalesce(to[F.col(ID)], "cluster").cast("int")).cache()
-                now = found.agg(F.sum(F.xxhash64(ID, "cluster").cast("decimal(38,0)")), F.sum("distance")).first()
-                labels = found.select(ID, "cluster")
-                if now[0] == state:
-                    break
-                state = now[0]
-            if best is None or now[1] < best[0] - 1e-9:
-                best = (now[1], labels, centroids)
-    finally:
-        rows.unpersist()
+    for run in range(n_init):
+        labels = rows.select(ID, F.pmod(F.xxhash64(ID, F.lit(seed), F.lit(run)), F.lit(k)).cast("int").alias("cluster"))
+        centroids, state, old = np.zeros((k, d)), None, None
+        for _ in range(max_iter):
+            scatter = _scatter(rows, labels, centroids)
+            new = centroids.copy()
+            if not centroids.any():
+                first = rows.join(labels, ID).groupBy("cluster").agg(F.min_by("v", ID).alias("v")).collect()
+                towards = {r["cluster"]: np.array(r["v"]) for r in first}
+            else:
+                towards = dict(enumerate(centroids))
+            for c in range(k):
+                if c in scatter:
+                    new[c] = _extract(scatter[c], towards[c])
+            centroids = new
+            # Each round's labels are written out: a lost executor costs one round, not all.
+            found = cut(_assigned(rows, centroids))
+            counts = {r["cluster"]: r["n"] for r in found.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+            empty = [c for c in range(k) if c not in counts]
+            if empty:
+                far = found.orderBy(F.desc("distance"), ID).limit(len(empty)).collect()
+                moved = {r[ID]: c for r, c in zip(far, empty)}
+                to = F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])
+                found = cut(found.withColumn("cluster", F.coalesce(to[F.col(ID)], "cluster").cast("int")))
+            now = found.agg(F.sum(F.xxhash64(ID, "cluster").cast("decimal(38,0)")), F.sum("distance")).first()
+            labels = found.select(ID, "cluster")
+            if old is not None and (best is None or old is not best[1]):
+                drop_cut(old)
+            old = labels
+            if now[0] == state:
+                break
+            state = now[0]
+        if best is None or now[1] < best[0] - 1e-9:
+            best = (now[1], labels, centroids)
     return best[1], best[2]

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.maths import isclose
+from panelforge.functions.storage import cut
 
-#: Rows for which the exact silhouette compares all pairs.
-EXACT_SILHOUETTE = 20_000
+#: Rows of a block of the exact silhouette, and rows that meet a block at once.
+BLOCK, AT_ONCE = 4096, 1024
+#: Rows up to which an evaluation takes the exact silhouette, whose work grows with their square; more take the simplified one.
+EXACT_SILHOUETTE = 200_000
 MIN_CLUSTER_SIZE = 300
 LEVEL_WARNING = 3.0
 
@@ -20,22 +25,67 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
 
 
-def silhouettes(vectors: DataFrame) -> DataFrame:
+def _block_sums(batches):
+    """Arrow map over rows sorted by (block, asks): sums of the distances from each asking row to the block's rows, by cluster."""
+    block, ids, cluster, v = None, [], [], []
+    held = None
+    for batch in batches:
+        out = {"id": [], "ci": [], "cj": [], "s": [], "n": []}
+        columns = [batch.column(c) for c in ("block", "asks", "id", "cluster", "v")]
+        number, asks = columns[0].to_numpy(), columns[1].to_numpy(zero_copy_only=False)
+        keys, labels = columns[2].to_numpy(), columns[3].to_numpy()
+        points = np.array(columns[4].to_pylist(), float)
+        edges = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])]) if len(number) else []
+        for a, b in zip(edges, [*edges[1:], len(number)]):
+            if number[a] != block:
+                block, held, ids, cluster, v = number[a], None, [], [], []
+            if not asks[a]:
+                ids.append(keys[a:b])
+                cluster.append(labels[a:b])
+                v.append(points[a:b])
+                continue
+            if held is None and ids:
+                all_ids, all_labels, x = np.concatenate(ids), np.concatenate(cluster), np.concatenate(v)
+                kinds, of = np.unique(all_labels, return_inverse=True)
+                held = all_ids, kinds, np.eye(len(kinds))[of], x
+            if held is None:
+                continue
+            all_ids, kinds, member, x = held
+            for p in range(a, b, AT_ONCE):
+                q = slice(p, min(b, p + AT_ONCE))
+                # Differences by component rather than a matrix product: no digits cancel.
+                distance = np.sqrt(sum((points[q, j, None] - x[None, :, j]) ** 2 for j in range(x.shape[1])))
+                other = (keys[q, None] != all_ids[None, :]).astype(float)
+                sums, counts = (distance * other) @ member, other @ member
+                at, kind = np.nonzero(counts)
+                out["id"].append(keys[q][at])
+                out["ci"].append(labels[q][at])
+                out["cj"].append(kinds[kind])
+                out["s"].append(sums[at, kind])
+                out["n"].append(counts[at, kind].astype(np.int64))
+        if out["id"]:
+            yield pa.RecordBatch.from_pydict({k: np.concatenate(x) for k, x in out.items()})
+
+
+def silhouettes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """id, cluster, silhouette of labelled vectors (id, cluster, v) by Euclidean distance; 0 alone in a cluster.
 
-    Compares each row with all others, blocked by an explicit size check:
-    above EXACT_SILHOUETTE rows use `simplified_silhouettes`.
+    Rows are dealt over blocks.  A task holds one block and streams all rows
+    past it; for each row it passes on one sum and count a cluster.  So memory
+    is bounded by the block, while the work grows with the square of the rows.
     """
-    n = vectors.count()
-    if n > EXACT_SILHOUETTE:
-        raise ValueError(f"{n} rows; the exact silhouette takes at most {EXACT_SILHOUETTE}")
-    a = vectors.select(F.col("id").alias("i"), F.col("cluster").alias("ci"), F.col("v").alias("vi"))
-    b = vectors.select(F.col("id").alias("j"), F.col("cluster").alias("cj"), F.col("v").alias("vj"))
-    to = a.join(b, F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(_distance(F.col("vi"), F.col("vj"))).alias("d"))
-    own, other = F.min(F.when(F.col("ci") == F.col("cj"), F.col("d"))), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d")))
-    each = to.groupBy(F.col("i").alias("id"), F.col("ci").alias("cluster")).agg(own.alias("a"), other.alias("b"))
+    rows = cut(vectors.select(F.col("id").cast("long").alias("id"), F.col("cluster").cast("long").alias("cluster"), F.col("v").cast("array<double>").alias("v")))
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "cluster", "v")
+    ask = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asks"), "id", "cluster", "v")
+    met = own.unionByName(ask).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    parts = met.mapInArrow(_block_sums, "id long, ci long, cj long, s double, n long")
+    to = parts.groupBy("id", "ci", "cj").agg((F.sum("s") / F.sum("n")).alias("d"))
+    mean = F.min(F.when(F.col("ci") == F.col("cj"), F.col("d"))), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d")))
+    each = to.groupBy("id", F.col("ci").alias("cluster")).agg(mean[0].alias("a"), mean[1].alias("b"))
     width = F.greatest("a", "b")
-    return each.select("id", "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(width == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(width, F.lit(0.0))).alias("silhouette"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(width == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(width, F.lit(0.0)))
+    return each.select("id", "cluster", value.alias("silhouette"))
 
 
 def silhouette(vectors: DataFrame) -> DataFrame:
@@ -113,6 +163,7 @@ def stability(runs: DataFrame, least_overlap: int = 2) -> DataFrame:
 
 
 def stability_summary(pairs: DataFrame) -> DataFrame:
+    """One row: mean and deviation of the pairs' agreement, and their number."""
     return pairs.agg(F.avg("ari").alias("stability_mean"), F.stddev_pop("ari").alias("stability_std"), F.count("*").alias("n_pairs"))
 
 
@@ -172,13 +223,17 @@ def size_diagnostics(labels: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n_clusters"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.median("n").alias("median_size"))
 
 
-def evaluation_row(vectors: DataFrame, method: str, k: int, min_size: int = MIN_CLUSTER_SIZE) -> DataFrame:
-    """One row of sizes, balance and validity for a labelling (id, cluster, v); labels under 0 are left out."""
-    regular = vectors.filter("cluster >= 0")
+def evaluation_row(vectors: DataFrame, method: str, k: int, min_size: int = MIN_CLUSTER_SIZE, exact: int = EXACT_SILHOUETTE) -> DataFrame:
+    """One row of sizes, balance and validity for a labelling (id, cluster, v); labels under 0 are left out.
+
+    The silhouette is exact up to `exact` rows and the simplified one beyond.
+    """
+    regular = cut(vectors.filter("cluster >= 0"))
+    width = silhouette(regular) if regular.count() <= exact else simplified_silhouettes(regular)
     sizes = regular.groupBy("cluster").agg(F.count("*").alias("n")).agg(
         F.sum("n").alias("n_households_regular_clusters"), F.count("*").alias("n_clusters_found"), F.min("n").alias("smallest_cluster"), F.max("n").alias("largest_cluster")
     )
     row = sizes.select(F.lit(method).alias("method"), F.lit(k).alias("k"), "*", (F.col("smallest_cluster") < min_size).alias("has_small_clusters"), F.try_divide("smallest_cluster", "largest_cluster").alias("cluster_balance"))
-    for metric in (silhouette(regular), davies_bouldin(regular), calinski_harabasz(regular)):
+    for metric in (width, davies_bouldin(regular), calinski_harabasz(regular)):
         row = row.crossJoin(F.broadcast(metric))
     return row

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from panelforge.operators.cleaning import ID
 from panelforge.operators.selection import feature_columns
 
-#: Points that one dendrogram is built over: rows up to this number, else micro-clusters.
-EXACT = 3_000
+#: Points that one dendrogram is built over on the driver: rows up to this number, else micro-clusters.
+EXACT = 25_000
+#: Living clusters are moved together when fewer than this share of the places is in use.
+_CROWDED = 0.7
 
 
 def merges(points: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
@@ -24,15 +26,20 @@ def merges(points: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, floa
     root is its smallest point number.
     """
     n = len(points)
-    c, w = points.astype(float).copy(), weights.astype(float).copy()
-    root, alive = np.arange(n), np.ones(n, bool)
-    out, chain = [], []
-    for _ in range(n - 1):
+    c, w, root = points.astype(float).copy(), weights.astype(float).copy(), np.arange(n)
+    square = (c * c).sum(axis=1)
+    out, chain, alive = [], [], np.ones(n, bool)
+    for left in range(n, 1, -1):
+        if left < _CROWDED * len(c):
+            place = np.cumsum(alive) - 1
+            chain = place[chain].tolist()
+            c, w, root, square = c[alive], w[alive], root[alive], square[alive]
+            alive = np.ones(left, bool)
         while True:
             if not chain:
                 chain.append(int(np.flatnonzero(alive)[0]))
             a = chain[-1]
-            d = ((c - c[a]) ** 2).sum(axis=1) * (w * w[a] / (w + w[a]))
+            d = (square - 2 * (c @ c[a]) + square[a]).clip(min=0) * (w * w[a] / (w + w[a]))
             d[~alive] = np.inf
             d[a] = np.inf
             b = int(d.argmin())
@@ -41,8 +48,10 @@ def merges(points: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, floa
                 break
             chain.append(b)
         chain = chain[:-2]
-        out.append((min(root[a], root[b]), max(root[a], root[b]), float(np.sqrt(2 * d[b]))))
+        height = float(np.sqrt(2 * ((c[a] - c[b]) ** 2).sum() * w[a] * w[b] / (w[a] + w[b])))
+        out.append((min(root[a], root[b]), max(root[a], root[b]), height))
         c[a] = (w[a] * c[a] + w[b] * c[b]) / (w[a] + w[b])
+        square[a] = (c[a] * c[a]).sum()
         w[a] += w[b]
         root[a] = min(root[a], root[b])
         alive[b] = False

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from panelforge.functions.storage import cut, ranked
 from panelforge.operators import features, kshape, labels, reporting, selection, validity, ward
 from panelforge.operators.cleaning import ID, z_rows
 from panelforge.plans.preparation import Prepared, for_features
@@ -48,9 +51,9 @@ class FeatureInput:
 
 def feature_input(panel: DataFrame, exact: int = ward.EXACT, **options) -> FeatureInput:
     prepared = for_features(panel, **options)
-    raw = features.ward_features(prepared.regular).cache()
+    raw = cut(features.ward_features(prepared.regular))  # written once: the fit reads it several times
     fitted = selection.fit_selection(raw)
-    matrix = fitted.transform(raw).cache()
+    matrix = cut(fitted.transform(raw))
     return FeatureInput(prepared, fitted, matrix, ward.ward(matrix, exact))
 
 
@@ -83,27 +86,53 @@ def evaluate(result: Clustering, min_size: int = validity.MIN_CLUSTER_SIZE) -> D
 
 def subsample(ids: DataFrame, fraction: float, run: int, seed: int = 42) -> DataFrame:
     """The first share of ids by a digest of id, seed and run."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.md5(F.concat_ws("/", F.col(ID), F.lit(seed), F.lit(run))))
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return ids.select(ID, F.row_number().over(order).alias("_k"), n.alias("_n")).filter(F.col("_k") <= F.ceil(F.col("_n") * fraction)).select(ID)
+    n = ids.count()
+    digest = F.md5(F.concat_ws("/", F.col(ID), F.lit(seed), F.lit(run)))
+    return ranked(ids.select(ID).withColumn("_h", digest), "_k", "_h", ID).filter(F.col("_k") <= math.ceil(n * fraction)).select(ID)
 
 
-def ward_stability(given: FeatureInput, k: int, runs: int = 10, fraction: float = 0.8) -> DataFrame:
-    """run_i, run_j, ari over repeated clusterings of subsamples; runs are independent jobs, failures are left out."""
-    ids = given.matrix.select(ID)
+@dataclass
+class Stability:
+    """Agreement of repeated clusterings: run pairs, how many runs came through and what the others said."""
+
+    pairs: DataFrame
+    successful_runs: int
+    failed_runs: int
+    failures: list[str]
 
-    def one(run: int) -> DataFrame | None:
+
+def _stability(spark: SparkSession, one: Callable[[int], DataFrame], k: int, runs: int) -> Stability:
+    """Runs `one` for each run, several at a time; failures are counted, and without a success there are no pairs."""
+
+    def attempt(run: int) -> DataFrame | str:
         try:
-            drawn = given.matrix.join(subsample(ids, fraction, run), ID, "left_semi")
-            return ward.ward(drawn).labels(k).select(F.lit(run).alias("run"), F.col(ID).alias("id"), "cluster")
-        except ValueError:
-            return None
+            return cut(one(run).select(F.lit(run).alias("run"), F.col(ID).alias("id"), F.col("cluster").cast("int").alias("cluster")))
+        except (ValueError, PySparkException) as e:
+            return f"run {run}: {e}"
 
     with ThreadPoolExecutor(4) as pool:
-        done = [d for d in pool.map(one, range(runs)) if d is not None]
-    if not done:
-        raise ValueError("no run succeeded")
-    return validity.stability(reduce(DataFrame.unionByName, done), k)
+        done = list(pool.map(attempt, range(runs)))
+    good, bad = [d for d in done if isinstance(d, DataFrame)], [d for d in done if isinstance(d, str)]
+    none = spark.createDataFrame([], "run int, id long, cluster int")
+    return Stability(validity.stability(reduce(DataFrame.unionByName, good, none), k), len(good), len(bad), bad)
+
+
+def ward_stability(given: FeatureInput, k: int, runs: int = 10, fraction: float = 0.8) -> Stability:
+    """run_i, run_j, ari over repeated Ward clusterings of subsamples."""
+    ids = given.matrix.select(ID)
+    return _stability(ids.sparkSession, lambda run: ward.ward(given.matrix.join(subsample(ids, fraction, run), ID, "left_semi")).labels(k), k, runs)
+
+
+def kshape_stability(panel: DataFrame, k: int, runs: int = 10, fraction: float = 0.8, n_init: int = 3, **options) -> Stability:
+    """run_i, run_j, ari over repeated k-Shape clusterings of subsamples."""
+    rows, _ = kshape.kshape_input(panel)
+    rows = cut(rows)
+
+    def one(run: int) -> DataFrame:
+        drawn = rows.join(subsample(rows.select(ID), fraction, run), ID, "left_semi")
+        return kshape.kshape(drawn, k, n_init=n_init, seed=42 + run, **options)[0]
+
+    return _stability(panel.sparkSession, one, k, runs)
 
 
 def choose_k(evaluations: DataFrame, min_size: int = validity.MIN_CLUSTER_SIZE, min_balance: float = 0.2) -> int:

@@ -6,7 +6,9 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from panelforge.functions.storage import ranked
 from panelforge.operators import kshape, labels, validity, ward
 from panelforge.plans import clustering
 from panelforge.sources import panel as pn
@@ -123,6 +125,14 @@ def test_special_groups_are_kept_or_reassigned(spark):
     lab = spark.createDataFrame(given, "household_id long, cluster int")
     got = {r["household_id"]: r["cluster"] for r in labels.reassign_special(p, lab, keep_from=3).collect()}
     assert [got[i] for i in (0, 8, 9, 12, 15, 17)] == [0, 0, 0, 1, 2, 2]
+    # A small special group may be nearest to a special group that became a cluster.
+    shapes = lambda i, d: float(d + 1) if i < 10 else float(20 - d) if i < 15 else float(d % 2 * 5 + 0.01 * i)
+    q = spark.createDataFrame([(i, date(2023, 1, 1) + timedelta(days=d), shapes(i, d)) for i in range(20) for d in range(14)], pn.SCHEMA)
+    some = spark.createDataFrame([(i, 0 if i < 10 else 1 if i < 15 else -3 if i < 19 else -1) for i in range(20)], "household_id long, cluster int")
+    assert {r["household_id"]: r["cluster"] for r in labels.reassign_special(q, some, keep_from=3).collect()}[19] == 2
+    with pytest.raises(pn.PanelError):
+        labels.reassign_special(q, some.withColumn("cluster", F.lit(-1)), keep_from=99)
+    assert {r["cluster"] for r in labels.reassign_special(q, some.withColumn("cluster", F.lit(-1)), keep_from=3).collect()} == {0}
     order = {r["household_id"]: r["cluster"] for r in labels.ordered(p, lab).collect()}
     assert Counter(order.values())[-1] == 2 and {order[0], order[12]} == {0, 1}
     done = labels.handoff(p, lab, keep_from=99)
@@ -149,3 +159,61 @@ def test_clustering_end_to_end(spark):
     done = {r["household_id"]: r["cluster"] for r in clustering.handoff(result, keep_from=5)["table"].collect()}
     assert done[1] == 0 and done[0] == 1 and set(done.values()) == {0, 1}
     assert clustering.tsne(np.random.default_rng(0).normal(size=(12, 3)), rounds=30).shape == (12, 2)
+
+
+def test_silhouette_over_several_blocks(spark):
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(90, 5)), rng.integers(0, 3, 90)
+    c[0] = 7
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(90)], "id long, cluster int, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {}
+    for i in range(90):
+        mean = {k: d[i, (c == k) & (np.arange(90) != i)].mean() for k in set(c) if ((c == k) & (np.arange(90) != i)).any()}
+        a, b = mean.get(c[i]), min(v for k, v in mean.items() if k != c[i])
+        want[i] = 0.0 if a is None else (b - a) / max(a, b)
+    for block in (4096, 16):
+        got = {r["id"]: r["silhouette"] for r in validity.silhouettes(df, block).collect()}
+        assert got == pytest.approx(want)
+    assert validity.silhouettes(df.limit(0)).count() == 0
+    both = [validity.evaluation_row(df, "given", 4, exact=n).first()["silhouette"] for n in (1000, 10)]
+    assert both[0] == pytest.approx(np.mean(list(want.values()))) and both[1] != both[0]
+
+
+def test_stability_counts_failures(spark):
+    ids = spark.range(20).select(F.col("id").alias("household_id"))
+
+    def one(run):
+        if run == 1:
+            raise ValueError("too few")
+        return ids.withColumn("cluster", F.col("household_id") % 2)
+
+    done = clustering._stability(ids.sparkSession, one, 2, 4)
+    assert (done.successful_runs, done.failed_runs) == (3, 1) and "too few" in done.failures[0]
+    assert [r["ari"] for r in done.pairs.collect()] == [1.0] * 3
+
+    def never(run):
+        raise ValueError("no")
+
+    none = clustering._stability(ids.sparkSession, never, 2, 3)
+    assert (none.successful_runs, none.failed_runs, none.pairs.count()) == (0, 3, 0)
+
+
+def test_ward_of_many_points_equals_the_plain_tree():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    tree = ward.merges(x, np.ones(60))
+    clusters, heights = {i: [i] for i in range(60)}, []
+    while len(clusters) > 1:
+        cost = lambda a, b: len(clusters[a]) * len(clusters[b]) / (len(clusters[a]) + len(clusters[b])) * ((x[clusters[a]].mean(0) - x[clusters[b]].mean(0)) ** 2).sum()
+        a, b = min(((a, b) for a in clusters for b in clusters if a < b), key=lambda p: cost(*p))
+        heights.append((a, b, math.sqrt(2 * cost(a, b))))
+        clusters[a] += clusters.pop(b)
+    assert [(a, b) for a, b, _ in tree] == [(a, b) for a, b, _ in heights]
+    assert [h for *_, h in tree] == pytest.approx([h for *_, h in heights])
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 503).alias("x"), (F.col("id") % 3).alias("y")).repartition(7)
+    got = {(r["x"], r["y"]): r["k"] for r in ranked(df, "k", "x", "y").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda p: p[1])] == sorted(got) and sorted(got.values()) == list(range(1, 501))
