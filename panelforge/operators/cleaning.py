@@ -81,16 +81,20 @@ def z_rows(panel: DataFrame) -> DataFrame:
 
 
 def normalise(panel: DataFrame, method: str = "standard", by: str = ID) -> DataFrame:
-    """Standard or min-max scaled readings by household, or by day (`by="date"`)."""
-    group = Window.partitionBy(by)
-    if method == "standard":
-        new = (F.col(V) - F.avg(V).over(group)) / (F.stddev_pop(V).over(group) + CONSTANT)
-    elif method == "minmax":
-        low = F.min(V).over(group)
-        new = (F.col(V) - low) / (F.max(V).over(group) - low + CONSTANT)
-    else:
+    """Standard or min-max scaled readings by household, or by day (`by="date"`).
+
+    The days' statistics are one row a day: they are aggregated first and
+    broadcast, since a panel has few days and any number of households.
+    """
+    if method not in ("standard", "minmax"):
         raise PanelError(f"unknown method {method!r}")
-    return panel.withColumn(V, new)
+    low, size = (F.avg, F.stddev_pop) if method == "standard" else (F.min, lambda c: F.max(c) - F.min(c))
+    if by == DAY:
+        days = panel.groupBy(DAY).agg(low(V).alias("_low"), size(V).alias("_size"))
+        return panel.join(F.broadcast(days), DAY).withColumn(V, (F.col(V) - F.col("_low")) / (F.col("_size") + CONSTANT)).select(*panel.columns)
+    group = Window.partitionBy(by)
+    width = size(V).over(group) if method == "standard" else F.max(V).over(group) - F.min(V).over(group)
+    return panel.withColumn(V, (F.col(V) - low(V).over(group)) / (width + CONSTANT))
 
 
 def transform(panel: DataFrame, method: str = "none") -> DataFrame:

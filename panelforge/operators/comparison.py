@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from panelforge.functions.storage import ranked
 from panelforge.operators.cleaning import DAY, ID, V
 from panelforge.operators.labels import CLUSTER
 
@@ -29,10 +29,15 @@ def error_distribution(errors: DataFrame) -> DataFrame:
 
 
 def error_ecdf(errors: DataFrame) -> DataFrame:
-    """Each household's share of households up to it, by ascending error within its method."""
-    each = Window.partitionBy("method")
-    order = each.orderBy("mae", ID)
-    return errors.select("method", ID, "mae", (F.row_number().over(order) / F.count("*").over(each)).alias("share"))
+    """Each household's share of households up to it, by ascending error within its method.
+
+    Ranks over all methods come from sorted ranges, which no one task holds;
+    a method's first rank and size are one row for each method.
+    """
+    order = ranked(errors.select("method", ID, "mae"), "_rank", "method", "mae", ID)
+    size = order.groupBy(F.col("method").alias("_of")).agg((F.min("_rank") - 1).alias("_before"), F.count("*").alias("_n"))
+    each = order.join(F.broadcast(size), F.col("method").eqNullSafe(F.col("_of")))
+    return each.select("method", ID, "mae", ((F.col("_rank") - F.col("_before")) / F.col("_n")).alias("share"))
 
 
 def daily_by_cluster(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -19,6 +20,8 @@ from panelforge.operators.cleaning import DAY, ID, V
 from panelforge.operators.labels import CLUSTER
 from panelforge.sources.panel import PanelError
 
+#: Households that a task forecasts at once: their days are one frame in memory.
+BUCKET = 2_000
 LAGS, WINDOWS, HORIZON = (1, 7, 14, 30), (7, 14, 30), 366
 FEATURES = (
     *[f"lag_{k}" for k in LAGS],
@@ -186,7 +189,8 @@ def cluster_models(rows: DataFrame, params: dict[int, dict] | dict, seed: int =
     """One model for each cluster of the rows; `params` by cluster, or the same for all."""
     numbers = sorted(r[0] for r in rows.select(CLUSTER).filter("cluster is not null").distinct().collect())
     of = lambda c: params[c] if c in params else params
-    return {c: fit_trees(rows.filter(F.col(CLUSTER) == c), of(c), seed) for c in numbers}
+    with ThreadPoolExecutor(4) as pool:  # the fits are independent jobs
+        return dict(zip(numbers, pool.map(lambda c: fit_trees(rows.filter(F.col(CLUSTER) == c), of(c), seed), numbers)))
 
 
 @dataclass
@@ -244,13 +248,13 @@ def recursive_forecast(
 
     Each day's lags and rolling values come from the training readings and
     the forecasts before it; priors and means from the training data only.
-    Households are independent, so buckets of them run side by side, each
-    vectorised over its households.  A short history gives lag and rolling
+    Households are independent, so buckets of some `BUCKET` of them run side
+    by side, each vectorised over its households.  A short history gives lag and rolling
     values of 0; a label without a model and not among the labels of models
     is cluster -99 with the global model.
     """
     spark = train.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-labels.count() // BUCKET))
     dow, month = cluster_priors(train, labels)
     dow_of = {(r[CLUSTER], r["day_of_week"]): r["cluster_dow_mean"] for r in dow.collect()}
     month_of = {(r[CLUSTER], r["month"]): r["cluster_month_mean"] for r in month.collect()}

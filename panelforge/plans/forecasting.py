@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.functions.storage import cut
 from panelforge.operators import comparison, forecast
 from panelforge.operators.cleaning import DAY, ID
 from panelforge.sources import panel as source
@@ -43,7 +44,7 @@ def run_method(
     if method == "global":
         labels = labels.select(ID, F.lit(0).alias("cluster"))
     source.check_assignments(labels)
-    rows = forecast.training_rows(train, labels).cache()
+    rows = cut(forecast.training_rows(train, labels))
     spark = train.sparkSession
     clusters = sorted(r[0] for r in labels.select("cluster").distinct().collect())
     tables, best = [], {}

@@ -106,6 +106,17 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     assert ((q["q10"] <= q["q50"]) & (q["q50"] <= q["q90"])).all()
 
 
+def test_a_run_is_saved_and_read_back(spark, tmp_path):
+    train, test = panel(spark), panel(spark, 10, start=date(2023, 1, 1) + timedelta(days=120))
+    run = forecasting.run_method(train, test, given(spark), "global", grid=[TINY], n_splits=1, validation_days=14)
+    forecasting.save(run, str(tmp_path))
+    again = spark.read.parquet(f"{tmp_path}/predictions/global")
+    assert sorted(map(str, again.select(*run.predictions.columns).collect())) == sorted(map(str, run.predictions.collect()))
+    table = spark.read.csv(f"{tmp_path}/evaluation/household_mae_global", header=True, inferSchema=True)
+    assert {r["household_id"]: r["mae"] for r in table.collect()} == pytest.approx({r["household_id"]: r["mae"] for r in run.errors.collect()})
+    assert fc.load_model(f"{tmp_path}/models/global/point_global").getNumTrees == TINY["n_estimators"]
+
+
 def test_streaming_panel(spark, tmp_path):
     from panelforge.streaming import ingest
 
