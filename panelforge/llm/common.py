@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 import time
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.functions.storage import cut, drop_cut, shared_dir  # noqa: F401  the operators take them from here
+
 #: White space of the word contracts: space and \t \n \v \f \r, as `bytes.split()` takes it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,40 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    A folder set by `SparkContext.setCheckpointDir` counts too.  Where there is
-    none, one machine (a local master, as in tests) gets a temporary folder; a
-    cluster gets an error, for its executors share no local folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_by_code.get() if set_by_code.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="panelforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage with files that survive lost executors; they go when the
-    driver's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver drop the shuffle files of jobs that nothing refers to any more.
 
@@ -69,15 +35,6 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table that `cut` wrote and nobody reads again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        there = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def fresh(df: DataFrame, name: str, *others: str) -> str:
     """A column name that neither `df` nor `others` hold."""
     taken = {c.lower() for c in (*df.columns, *others)}
