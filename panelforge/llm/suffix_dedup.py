@@ -24,7 +24,7 @@ from panelforge.llm.suffix import maximal_repeats, suffix_array
 SEGMENT = 1 << 20
 CONTEXT_BYTES = 1 << 19
 #: Different contexts that a suffix array takes of one anchor; those of a hotter anchor are split by longer common parts.
-ANCHOR_LIMIT = 1024
+ANCHOR_LIMIT = 512
 #: Bytes of an anchor's k-gram.
 GRAM = 32
 #: A run of starts travels as one number: its first start, its last and its anchor past that, 7 bits each for these.
@@ -152,7 +152,8 @@ def _context_rows(reps: DataFrame, length: int) -> DataFrame:
     found = map_rows(reps.select("rid", "raw"), make, "h long, rid long, run long")
     again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     free_shuffles(spark)
-    shared = cut(spread_join(found, again.select("h"), ["h"], hot_keys(again, reps.count(), "h")).groupBy("rid").agg(F.collect_list(F.struct("h", "run")).alias("runs")))
+    runs = again.agg(F.sum("n")).first()[0] or 0
+    shared = cut(spread_join(found, again.select("h"), ["h"], hot_keys(again, runs, "h")).groupBy("rid").agg(F.collect_list(F.struct("h", "run")).alias("runs")))
     free_shuffles(spark)
 
     def piece(r):

@@ -140,7 +140,7 @@ def test_hot_anchors_split_into_stretches(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     flags = removed(rows, 100)
     want = {d: (len(flags[d, t]), sum(1 for i in flags[d, t] if i - 1 not in flags[d, t])) for d, t in rows}
-    for limit in (1024, 20, 2):
+    for limit in (512, 20, 2):
         got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.deduplicated(docs, anchor_limit=limit).collect()}
         assert got == want
 
