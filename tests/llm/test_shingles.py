@@ -52,7 +52,7 @@ def test_classes_match_all_pairs(spark, limit):
             if a == b or 10 * len(a & b) >= 8 * len(a | b):
                 i_, j_ = top(i), top(j)
                 group[max(i_, j_)] = min(i_, j_)
-    kept = shingles.without_near_duplicates(docs, bucket_limit=limit)
+    kept = shingles.without_near_duplicates(docs, block=limit)
     assert kept.columns == docs.columns
     got = [x["doc_id"] for x in kept.collect()]
     assert sorted(x for x in got if x is not None) == sorted({top(i) for i in range(len(rows))})
