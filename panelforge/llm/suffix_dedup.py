@@ -149,11 +149,12 @@ def _context_rows(reps: DataFrame, length: int) -> DataFrame:
 
         return run
 
-    found = map_rows(reps.select("rid", "raw"), make, "h long, rid long, run long")
+    found = cut(map_rows(reps.select("rid", "raw"), make, "h long, rid long, run long"))
     again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     free_shuffles(spark)
     runs = again.agg(F.sum("n")).first()[0] or 0
     shared = cut(spread_join(found, again.select("h"), ["h"], hot_keys(again, runs, "h")).groupBy("rid").agg(F.collect_list(F.struct("h", "run")).alias("runs")))
+    drop_cut(found)
     free_shuffles(spark)
 
     def piece(r):
