@@ -168,7 +168,9 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0),
     Rows that agree in these three are dealt their copies by the order of
     their texts; a null doc_id or source agrees with a null.  Only the keys
     of rows that share theirs with another row are ranked, so texts are not
-    shuffled but for the join with their copies.
+    shuffled but for the join with their copies.  Rows that agree in all three
+    meet in one task: many rows without doc_id, of one source and one size,
+    would make it a long one.
     """
     key = [fresh(docs, n) for n in ("mix_id", "mix_of", "mix_size")]
     total, many, turn, again = (fresh(docs, n) for n in ("mix_copies", "mix_n", "mix_turn", "mix_again"))

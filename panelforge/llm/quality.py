@@ -76,8 +76,10 @@ def quality_rules(
     from `least` words on, at most the fraction `longest_share` of them.  A
     `most_covered` of `most_repeated` percent or more rejects nothing further:
     every covered word lies in a repeated window.
-    Null and empty texts have no words and fail; null doc_ids and repeated
-    rows stay; an empty table gives none; other columns are not read.
+    Null and empty texts have no words and fail; texts of any length are read
+    whole, a very long one in a suffix array of its own, whose memory grows
+    with it; null doc_ids and repeated rows stay; an empty table gives none;
+    other columns are not read.
     """
 
     def make():

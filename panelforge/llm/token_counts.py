@@ -104,8 +104,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     Matching pre-tokens count one through the proven strings; only the rest
     is merged by the library.  Texts with special strings or with characters
     outside the plain range are encoded by the library as a whole.  Null
-    texts count as empty (0 bytes, 0 tokens); null doc_ids and repeated rows
-    stay; other columns of `docs` are not read.
+    texts count as empty (0 bytes, 0 tokens); texts of any length are counted
+    whole; null doc_ids and repeated rows stay; an empty table gives none;
+    other columns of `docs` are not read.
     """
     whole = proven_whole_tokens(tokenizer_path)
 
