@@ -18,8 +18,8 @@ def method_comparison(*summaries: DataFrame) -> DataFrame:
 
 
 def with_actuals(forecast: DataFrame, actual: DataFrame) -> DataFrame:
-    """Forecast rows with the reading, null where there is none, and the absolute error."""
-    met = forecast.join(actual.select(ID, DAY, V), [ID, DAY], "left")
+    """Forecast rows with the reading, null where there is none, and the absolute error; neither panel is broadcast."""
+    met = forecast.join(actual.select(ID, DAY, V).hint("merge"), [ID, DAY], "left")
     return met.withColumn("abs_error", F.abs(F.col(V) - F.col("predicted")))
 
 

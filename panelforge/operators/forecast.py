@@ -335,8 +335,12 @@ def quantile_forecast(forecast: DataFrame, residuals: DataFrame, quantiles: tupl
 
 
 def household_mae(forecast: DataFrame, actual: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """household_id, mae, n_days_compared, complete_horizon_flag over days that both sides have."""
-    met = forecast.select(ID, DAY, "predicted").join(actual.select(ID, DAY, V), [ID, DAY])
+    """household_id, mae, n_days_compared, complete_horizon_flag over days that both sides have.
+
+    Both sides are panels and neither is broadcast, however small Spark takes
+    a generated one to be.
+    """
+    met = forecast.select(ID, DAY, "predicted").join(actual.select(ID, DAY, V).hint("merge"), [ID, DAY])
     each = met.groupBy(ID).agg(F.avg(F.abs(F.col(V) - F.col("predicted"))).alias("mae"), F.count("*").alias("n_days_compared"))
     return each.withColumn("complete_horizon_flag", F.col("n_days_compared") == horizon)
 

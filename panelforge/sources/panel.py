@@ -15,10 +15,14 @@ class PanelError(ValueError):
     """A panel or label table that breaks a rule of its schema."""
 
 
-def spine(ids: DataFrame, start: str, end: str) -> DataFrame:
-    """Every id with every day from start to end: no join, one row generator for each id."""
+def spine(ids: DataFrame, start: str, end: str, *keep: str) -> DataFrame:
+    """Every id, with the columns `keep`, and every day from start to end: no join, one row generator for each id.
+
+    Spark takes the result to be as small as `ids`; where it is joined, a hint
+    has to keep it from being broadcast.
+    """
     days = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day")))
-    return ids.select(F.col("household_id").cast("long").alias("household_id"), days.alias("date"))
+    return ids.select(F.col("household_id").cast("long").alias("household_id"), days.alias("date"), *keep)
 
 
 def dense(ids: DataFrame, readings: DataFrame, start: str, end: str, fill: float | None = None) -> DataFrame:
