@@ -31,6 +31,7 @@ def broadcast_generators(df):
 
 QUERIES = {
     "q4_error_ecdf": forecasting._errors,
+    "q8_best_and_worst": forecasting.q8,
 }
 
 
