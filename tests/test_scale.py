@@ -34,6 +34,7 @@ QUERIES = {
     "q3_error_distribution": forecasting.q3,
     "q4_error_ecdf": forecasting._errors,
     "q8_best_and_worst": forecasting.q8,
+    "q9_win_rate": forecasting.q9,
 }
 
 
