@@ -59,20 +59,22 @@ def hot_keys(counted: DataFrame, total: int, *on: str, n: str = "n") -> DataFram
     return counted.sparkSession.createDataFrame(hot, counted.select(*on).schema) if hot else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner", large: bool = False) -> DataFrame:
     """`left.join(right, on, how)` with the rows of `hot` keys dealt over as many tasks as there are partitions.
 
     `hot` is bounded (`hot_keys`) and broadcast; the rows of `right` with such
-    a key, few for each, go to all of these tasks.
+    a key, few for each, go to all of these tasks.  With `large` neither side
+    is broadcast: Spark takes generated rows (probes, copies) to be as few as
+    what they come from.
     """
     if hot is None:
-        return left.join(right, on, how)
+        return left.join(right.hint("merge") if large else right, on, how)
     salts, salt, flag = partitions(left.sparkSession), fresh(left, "salt", *right.columns), fresh(left, "hot", *right.columns)
     known = F.broadcast(hot.withColumn(flag, F.lit(True)))
     whole = F.array(F.lit(0))
     dealt = left.join(known, on, "left").withColumn(salt, F.when(F.col(flag), F.floor(F.rand(1) * salts).cast("int")).otherwise(0)).drop(flag)
     copied = right.join(known, on, "left").withColumn(salt, F.explode(F.when(F.col(flag), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(whole))).drop(flag)
-    return dealt.join(copied, [*on, salt], how).drop(salt)
+    return dealt.join(copied.hint("merge") if large else copied, [*on, salt], how).drop(salt)
 
 
 def partitions(spark: SparkSession) -> int:

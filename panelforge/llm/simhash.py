@@ -85,15 +85,15 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = BUCKET_LIMIT
     around = F.transform(_masks(0, 32), lambda m: F.col("key").bitwiseXOR(m))
     probed = very and very.select("seg", F.explode(F.when(F.col("seg") == 0, around).otherwise(F.array("key"))).alias("key")).distinct()
     large = sizes.filter(F.col("n") > bucket_limit).select("seg", "key", F.lit(True).alias("hot"))
-    tables = cut(spread_join(tables, large, ["seg", "key"], very, "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    tables = cut(spread_join(tables, large, ["seg", "key"], very, "left", large=True).withColumn("hot", F.coalesce("hot", F.lit(False))))
     ball = F.transform(_masks(32, 64), lambda m: F.struct(F.lit(0).alias("seg"), F.shiftrightunsigned(F.col("fp").bitwiseXOR(m), 32).alias("key")))
     exact = F.array(F.struct(F.lit(1).alias("seg"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")))
     probes = fps.select("fp", F.explode(F.concat(ball, exact)).alias("k")).select("fp", "k.seg", "k.key")
-    met = spread_join(probes, tables.filter(~F.col("hot")).drop("hot"), ["seg", "key"], probed).select("fp", "other")
+    met = spread_join(probes, tables.filter(~F.col("hot")).drop("hot"), ["seg", "key"], probed, large=True).select("fp", "other")
     members = tables.filter("hot").select(F.col("other").alias("fp")).distinct()
     near = members.select("fp", F.explode(F.transform(_masks(0, 64), lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
     hubs = near.groupBy("centre").agg(F.min("fp").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    tied = near.join(hubs, "centre").select("fp", "other")
+    tied = near.join(hubs.hint("merge"), "centre").select("fp", "other")
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     return (
         met.unionByName(tied)
@@ -116,10 +116,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
         hubs = hot_keys(least, 2 * total, "a")
-        large = spread_join(both.filter("b > a"), least.drop("n"), ["a"], hubs).select(F.col("m").alias("a"), "b").filter("a != b").distinct()
+        large = spread_join(both.filter("b > a"), least.drop("n"), ["a"], hubs, large=True).select(F.col("m").alias("a"), "b").filter("a != b").distinct()
         up = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
         leaves = hot_keys(up, total, "b")
-        small = spread_join(large, up.drop("n"), ["b"], leaves).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a != b").distinct()
+        small = spread_join(large, up.drop("n"), ["b"], leaves, large=True).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a != b").distinct()
         after = cut(small)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_cut(edges)
@@ -133,10 +133,10 @@ def _classes(fps: DataFrame, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
     """fp, component_id and the root of its class; and the fingerprints of a large share of the rows."""
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     roots = components(near_links(nodes.select("fp"), bucket_limit=bucket_limit))
-    rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", "n"))
+    rooted = cut(nodes.join(roots.hint("merge"), nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", "n"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("nodes"))
     hubs = hot_keys(smallest, rooted.count(), "root", n="nodes")
-    return spread_join(rooted, smallest.drop("nodes"), ["root"], hubs).select("fp", "component_id", "root"), hot_keys(rooted, fps.count(), "fp")
+    return spread_join(rooted, smallest.drop("nodes"), ["root"], hubs, large=True).select("fp", "component_id", "root"), hot_keys(rooted, fps.count(), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_limit: int = BUCKE
     """
     fps = cut(fingerprints(docs, shingle))
     classes, copied = _classes(fps, bucket_limit)
-    return spread_join(fps, classes.drop("root"), ["fp"], copied).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(fps, classes.drop("root"), ["fp"], copied, large=True).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -186,5 +186,5 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     fps = cut(map_rows(text_rows(hashed, "h"), make, "doc_id long, h long, fp long"))
     classes, _ = _classes(fps, BUCKET_LIMIT)
     least = fps.filter("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("least"))
-    kept = least.join(classes, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    kept = least.join(classes.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("least"))
     return one_of_each(docs, kept.select("least.doc_id", "least.h"))
