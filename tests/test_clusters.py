@@ -217,3 +217,22 @@ def test_ranks_over_ranges(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 503).alias("x"), (F.col("id") % 3).alias("y")).repartition(7)
     got = {(r["x"], r["y"]): r["k"] for r in ranked(df, "k", "x", "y").collect()}
     assert [k for k, _ in sorted(got.items(), key=lambda p: p[1])] == sorted(got) and sorted(got.values()) == list(range(1, 501))
+
+
+def test_silhouette_of_copies_and_near_points(spark):
+    """Copies are neighbours at distance 0 and never expanded into pairs; far from the origin no digits are lost."""
+    rng = np.random.default_rng(6)
+    base = 1e4 + rng.normal(size=(12, 3))
+    x = np.concatenate([np.repeat(base, 3, axis=0), base + 1e-5])
+    c = np.concatenate([np.repeat(np.arange(12) % 2, 3), np.arange(12) % 2])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {}
+    for i in range(len(x)):
+        a, b = d[i, (c == c[i]) & (np.arange(len(x)) != i)].mean(), d[i, c != c[i]].mean()
+        want[i] = (b - a) / max(a, b)
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(len(x))], "id long, cluster int, v array<double>")
+    for block in (4096, 5):
+        assert {r["id"]: r["silhouette"] for r in validity.silhouettes(df, block).collect()} == pytest.approx(want, abs=1e-9)
+    assert validity.silhouette(df).first()[0] == pytest.approx(np.mean(list(want.values())), abs=1e-9)
+    points = validity._point_silhouettes(validity._labelled(df), 4096)
+    assert points.count() == 24 and points.agg(F.sum("w")).first()[0] == 48
