@@ -236,3 +236,17 @@ def test_silhouette_of_copies_and_near_points(spark):
     assert validity.silhouette(df).first()[0] == pytest.approx(np.mean(list(want.values())), abs=1e-9)
     points = validity._point_silhouettes(validity._labelled(df), 4096)
     assert points.count() == 24 and points.agg(F.sum("w")).first()[0] == 48
+
+
+def test_evaluation_row_of_copies_takes_the_exact_silhouette(spark):
+    """Copies meet as one point, so a row of many copies has the silhouette of all its pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(8, 2))
+    x, c = np.repeat(base, 50, axis=0), np.repeat(np.arange(8) % 2, 50)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    a = np.array([d[i, c == c[i]].sum() / 199 for i in range(400)])
+    b = np.array([d[i, c != c[i]].mean() for i in range(400)])
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(400)], "id long, cluster int, v array<double>")
+    assert validity._point_silhouettes(validity._labelled(df), 4096).count() == 8
+    row = validity.evaluation_row(df, "given", 2).first()
+    assert row["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean()) and row["n_households_regular_clusters"] == 400
