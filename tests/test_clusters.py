@@ -250,3 +250,23 @@ def test_evaluation_row_of_copies_takes_the_exact_silhouette(spark):
     assert validity._point_silhouettes(validity._labelled(df), 4096).count() == 8
     row = validity.evaluation_row(df, "given", 2).first()
     assert row["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean()) and row["n_households_regular_clusters"] == 400
+
+
+def test_distances_are_made_in_tiles():
+    """A block meets another tile by tile, which stay in a core's cache: no 1,024 x 4,096 distances at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, dims = 4096, 4
+    x = np.random.default_rng(3).normal(size=(2 * n, dims))
+    columns = {"cell": np.zeros(2 * n, np.int64), "asks": np.arange(2 * n) >= n, "id": np.arange(2 * n), "cluster": np.arange(2 * n) % 2, "w": np.ones(2 * n, np.int64)}
+    batch = pa.RecordBatch.from_pydict({**columns, "v": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(validity._block_sums([batch]))).to_pandas().set_index(["id", "cj"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6  # 1,024 x 4,096 distances are 34 MB
+    for i in (n, 2 * n - 1):
+        d = np.sqrt(((x[i] - x[:n:2]) ** 2).sum(axis=1))
+        assert out.loc[(i, 0), "s"] == pytest.approx(d.sum()) and out.loc[(i, 0), "n"] == n // 2
