@@ -17,7 +17,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts that share four fifths or more of their five-word shingles."""
+    """One document of each class of texts that share four fifths or more of their five-word shingles.
+
+    SimHash fingerprints of these shingles, multi-index hashing and connected
+    components, as in op1, give the first links, which the sets confirm; pairs
+    that 2 of 64 bits do not reach are then found by the sets themselves.
+    """
     return shingles.without_near_duplicates(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicate classes by the Jaccard similarity of word-shingle sets: min-wise bands find pairs, the sets decide."""
+"""Near-duplicate classes by the Jaccard similarity of word-shingle sets: SimHash fingerprints find pairs first, min-wise bands the rest, the sets decide."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batch_of, cut, map_rows
-from panelforge.llm.simhash import components, one_of_each
+from panelforge.llm.common import batch_of, cut, hot_keys, map_rows, spread_join
+from panelforge.llm.simhash import components, fingerprint_of, near_links, one_of_each
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -31,8 +31,8 @@ _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, SKETCH, np.uint64) * n
 _MIX = np.random.default_rng(43).integers(1, 1 << 63, (BANDS, ROWS + 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 hashes (seed 42) of a text's word shingles.
+def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 hashes (seed 42) of a text's word shingles in their order, repeats included.
 
     Null and texts without a word give none; fewer words than a shingle give one.
     """
@@ -44,7 +44,12 @@ def shingle_set(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts, last = [0, *ends[:-1].tolist()][:n], (ends - 1).tolist()[len(words) - n :]
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, last)), np.uint64, n))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, last)), np.uint64, n)
+
+
+def shingle_set(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(shingle_hashes(raw, shingle))
 
 
 def _minima(hashes: np.ndarray) -> np.ndarray:
@@ -71,22 +76,26 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash `h`, set hash `fp`, set size `n`, band keys and sketch words for every row; empty sets have no keys."""
+    """doc_id, text hash `h`, set hash `fp`, fingerprint `sim`, set size `n`, band keys and sketch words for every row; empty sets have no keys."""
 
     def make():
         def run(batch):
-            sets = [shingle_set(x) for x in batch.column("raw").to_pylist()]
+            sets, sim = [], []
+            for raw in batch.column("raw").to_pylist():
+                hashes = shingle_hashes(raw)
+                sim.append(fingerprint_of(hashes[at : at + 65536] for at in range(0, len(hashes), 65536)))
+                sets.append(np.unique(hashes))
             fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             minima = [_minima(s) for s in sets]
             keys = pa.array([band_keys(m).view(np.int64) if len(s) else [] for m, s in zip(minima, sets)], pa.list_(pa.int64()))
             words = np.array([sketch(m) for m in minima]).view(np.int64).reshape(len(sets), WORDS)
             return batch_of(
-                doc_id=batch.column("doc_id"), h=batch.column("h"), fp=pa.array(fp), n=pa.array([len(s) for s in sets], pa.int64()), keys=keys, **{f"s{i}": pa.array(words[:, i].copy()) for i in range(WORDS)}
+                doc_id=batch.column("doc_id"), h=batch.column("h"), fp=pa.array(fp), sim=pa.array(np.array(sim, np.uint64).view(np.int64)), n=pa.array([len(s) for s in sets], pa.int64()), keys=keys, **{f"s{i}": pa.array(words[:, i].copy()) for i in range(WORDS)}
             )
 
         return run
 
-    return map_rows(_text(docs), make, "doc_id long, h long, fp long, n long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    return map_rows(_text(docs), make, "doc_id long, h long, fp long, sim long, n long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS)))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -134,11 +143,29 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets `nodes` whose SimHash fingerprints differ in 2 bits or less, enough to connect them all.
+
+    Fingerprints meet by multi-index hashing, as `near_links` says; the least
+    set of each stands for it, and the others with the same are tied to that one.
+    """
+    known = nodes.filter("n > 0").select("sim", "fp")
+    first = cut(known.groupBy("sim").agg(F.min("fp").alias("least"), F.count("*").alias("n")))
+    hot = hot_keys(first, known.count(), "sim")
+    same = spread_join(known, first.drop("n"), ["sim"], hot, large=True).filter("fp != least").select(F.col("fp").alias("x"), F.col("least").alias("y"))
+    links = near_links(first.select(F.col("sim").alias("fp")))
+    ends = [first.select(F.col("sim").alias(end), F.col("least").alias(to)) for end, to in (("a", "x"), ("b", "y"))]
+    met = links.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("x", "y")
+    return cut(same.unionByName(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect the sets `nodes` of `docs` at `percent` similarity or more; the sets themselves are compared.
 
-    Sets that share a band key are compared, unless their sketches rule it
-    out.  All members of a bucket are first compared with a few, the same ones
+    Sets whose fingerprints are near are compared first (`simhash_pairs`).
+    64 bits reach few of the pairs at 80 percent, so those that are not in one
+    class yet are compared too if they share a band key, unless their sketches
+    rule it out.  All members of a bucket are first compared with a few, the same ones
     in all buckets where possible; then pairs that are not in one class yet.
     So no class is lost and few of a large bucket's pairs become rows.
     Buckets of over `block` sets are dealt over blocks that meet one by one.
@@ -146,20 +173,25 @@ def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, block: i
     each = nodes.select("fp", "h", F.explode("keys").alias("key"))
     sizes = each.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     found = cut(each.join(sizes, "key"))
-    sets = _sets(docs, found.select("h").distinct())
+    near_bits = simhash_pairs(nodes)
+    ends = near_bits.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = _sets(docs, found.select("h").unionByName(nodes.join(ends.hint("merge"), "fp").select("h")).distinct())
+    linked = _verified(near_bits, sets, percent)
+    tied = components(linked)
     first = F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", F.lit(i))) for i in range(CENTRES)]))
     centres = found.groupBy("key").agg(first.alias("centres"))
     words = [f"s{i}" for i in range(WORDS)]
-    members = cut(found.select("key", "fp", "size").join(centres, "key").join(nodes.select("fp", "n", "keys", *words), "fp").withColumn("centre", F.array_contains("centres", F.col("fp"))).drop("centres"))
+    rooted = nodes.select("fp", "n", "keys", *words).join(tied.hint("merge"), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    members = cut(found.select("key", "fp", "size").join(centres, "key").join(rooted, "fp").withColumn("centre", F.array_contains("centres", F.col("fp"))).drop("centres"))
     number, of = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / block)), F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)
 
     dealt = members.withColumn("i", number).alias("x")
     to_all = members.filter("centre").withColumn("i", F.explode(of)).alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i"))
-    near = _verified(_ends(dealt.join(to_all, same & _alike(percent, False))), sets, percent)
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.root") != F.col("y.root"))
+    near = linked.unionByName(_verified(_ends(dealt.join(to_all, same & _alike(percent, False))), sets, percent))
 
     roots = components(near)
-    rooted = members.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", "n", "keys", *words, F.coalesce("root", "fp").alias("root"))
+    rooted = members.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", "n", "keys", *words, F.coalesce("root", "fp").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     open_ = cut(rooted.join(several, "key"))
     x = open_.withColumn("i", number).withColumn("j", F.explode(of)).alias("x")
@@ -177,7 +209,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLO
     """
     rows = cut(signatures(docs))
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
-    nodes = cut(rows.groupBy("fp").agg(F.min(named).alias("least"), *[F.first(c).alias(c) for c in ("h", "n", "keys", *[f"s{i}" for i in range(WORDS)])]))
+    nodes = cut(rows.groupBy("fp").agg(F.min(named).alias("least"), F.min("sim").alias("sim"), *[F.first(c).alias(c) for c in ("h", "n", "keys", *[f"s{i}" for i in range(WORDS)])]))
     roots = components(similar_links(docs, nodes, percent, block))
     classes = nodes.select("fp", "least").join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("class")).agg(F.min("least").alias("least"))
     return one_of_each(docs, classes.filter("least is not null").select("least.doc_id", "least.h"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,10 +32,15 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
     n = max(1, len(words) - shingle + 1)
     last = (ends - 1).tolist()[len(words) - n :]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : min(n, at + 65536)], last[at : at + 65536])], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return fingerprint_of(np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : min(n, at + 65536)], last[at : at + 65536])], np.uint64) for at in range(0, n, 65536))
+
+
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
+    """The unsigned fingerprint of 64-bit hashes, given in parts: a bit is 1 if set in over half of them."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 

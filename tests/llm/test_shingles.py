@@ -65,3 +65,28 @@ def test_stage_drops_edited_copies(spark):
     ids = {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert 6 in ids and not ids & {7, 8}
     assert {7, 8} & {x["doc_id"] for x in simhash.without_near_duplicates(docs).collect()}
+
+
+def test_stage_links_by_simhash(spark):
+    """Without a band key, the fingerprints alone link what lies within 2 bits, and the sets confirm it."""
+    r = random.Random(9)
+    words = ["".join(r.choice("aeioubcdst") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    rows = []
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(900)]
+        rows.append(" ".join(base))
+        rows += [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in (0, 450)]
+    rows += [rows[0].upper(), "", None, "one", "a b c d e f a b c d e f", "a b c d e f a b c d e f a b c d e f"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], SCHEMA)
+    signed = shingles.signatures(docs).collect()
+    assert [x["sim"] % (1 << 64) for x in sorted(signed, key=lambda x: x["doc_id"])] == [simhash.fingerprint(t and t.encode(), 5) for t in rows]
+    of = {x["fp"]: x for x in signed}
+    grams = {k: set(shingles.shingle_set((rows[x["doc_id"]] or "").encode()).tolist()) for k, x in of.items()}
+    want = {(a, b) for a in of for b in of if a < b and (of[a]["sim"] ^ of[b]["sim"]).bit_count() <= 2 and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
+    nodes = spark.createDataFrame([{**x.asDict(), "keys": []} for x in of.values()], shingles.signatures(docs).schema)
+    got = {tuple(x) for x in shingles.similar_links(docs, nodes).collect()}
+    assert len(want) > 5 and got <= want
+    group = {k: k for k in of}
+    for a, b in sorted(got) * len(of):
+        group[a] = group[b] = min(group[a], group[b])
+    assert all(group[a] == group[b] for a, b in want)
