@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batch_of, cut, hot_keys, map_rows, spread_join
-from panelforge.llm.simhash import components, fingerprint_of, near_links, one_of_each
+from panelforge.llm.common import batch_of, cut, drop_cut, free_shuffles, hot_keys, map_rows, spread_join
+from panelforge.llm.simhash import AT_ONCE, components, fingerprint_of, near_links, one_of_each
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -156,7 +156,9 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     links = near_links(first.select(F.col("sim").alias("fp")))
     ends = [first.select(F.col("sim").alias(end), F.col("least").alias(to)) for end, to in (("a", "x"), ("b", "y"))]
     met = links.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").select("x", "y")
-    return cut(same.unionByName(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    pairs = cut(same.unionByName(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    drop_cut(first)
+    return pairs
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -169,7 +171,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, block: i
     in all buckets where possible; then pairs that are not in one class yet.
     So no class is lost and few of a large bucket's pairs become rows.
     Buckets of over `block` sets are dealt over blocks that meet one by one.
+    Tables and shuffles on the way are given up as soon as nothing reads them.
     """
+    spark = nodes.sparkSession
     each = nodes.select("fp", "h", F.explode("keys").alias("key"))
     sizes = each.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     found = cut(each.join(sizes, "key"))
@@ -177,12 +181,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, block: i
     ends = near_bits.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = _sets(docs, found.select("h").unionByName(nodes.join(ends.hint("merge"), "fp").select("h")).distinct())
     linked = _verified(near_bits, sets, percent)
-    tied = components(linked)
+    drop_cut(near_bits)
+    tied = components(linked, AT_ONCE)
+    free_shuffles(spark)
     first = F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", F.lit(i))) for i in range(CENTRES)]))
     centres = found.groupBy("key").agg(first.alias("centres"))
     words = [f"s{i}" for i in range(WORDS)]
     rooted = nodes.select("fp", "n", "keys", *words).join(tied.hint("merge"), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
     members = cut(found.select("key", "fp", "size").join(centres, "key").join(rooted, "fp").withColumn("centre", F.array_contains("centres", F.col("fp"))).drop("centres"))
+    drop_cut(found)
     number, of = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / block)), F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)
 
     dealt = members.withColumn("i", number).alias("x")
@@ -190,14 +197,20 @@ def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80, block: i
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.root") != F.col("y.root"))
     near = linked.unionByName(_verified(_ends(dealt.join(to_all, same & _alike(percent, False))), sets, percent))
 
-    roots = components(near)
+    roots = components(near, AT_ONCE)
+    free_shuffles(spark)
     rooted = members.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", "n", "keys", *words, F.coalesce("root", "fp").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     open_ = cut(rooted.join(several, "key"))
+    drop_cut(members)
+    free_shuffles(spark)
     x = open_.withColumn("i", number).withColumn("j", F.explode(of)).alias("x")
     y = open_.withColumn("j", number).withColumn("i", F.explode(of)).alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.root") < F.col("y.root"))
-    return near.unionByName(_verified(_ends(x.join(y, same & _alike(percent, True))), sets, percent))
+    last = _verified(_ends(x.join(y, same & _alike(percent, True))), sets, percent)
+    for done in (open_, sets):
+        drop_cut(done)
+    return near.unionByName(last)
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -210,6 +223,11 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLO
     rows = cut(signatures(docs))
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
     nodes = cut(rows.groupBy("fp").agg(F.min(named).alias("least"), F.min("sim").alias("sim"), *[F.first(c).alias(c) for c in ("h", "n", "keys", *[f"s{i}" for i in range(WORDS)])]))
-    roots = components(similar_links(docs, nodes, percent, block))
+    drop_cut(rows)
+    roots = components(similar_links(docs, nodes, percent, block), AT_ONCE)
     classes = nodes.select("fp", "least").join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("class")).agg(F.min("least").alias("least"))
-    return one_of_each(docs, classes.filter("least is not null").select("least.doc_id", "least.h"))
+    kept = cut(classes.filter("least is not null").select("least.doc_id", "least.h"))
+    drop_cut(nodes)
+    drop_cut(roots)
+    free_shuffles(docs.sparkSession)
+    return one_of_each(docs, kept)

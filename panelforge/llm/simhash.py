@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from panelforge.llm.common import batch_of, cut, drop_cut, fresh, hot_keys, map_
 
 #: Table buckets above this many fingerprints take the exact hub way instead of the join.
 BUCKET_LIMIT = 64
+#: Links that `components` may hand to one task, 4 MB of them.
+AT_ONCE = 1 << 18
 
 
 def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
@@ -110,14 +112,61 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = BUCKET_LIMIT
     )
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root, the smallest node reachable, for every end of the links (a, b).
+def spanned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest node reachable and node, for every end of the links (a, b) but these smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        least = np.minimum(root[x], root[y])
+        for end in (x, y):
+            np.minimum.at(root, root[end], least)
+        while (root != root[root]).any():
+            root = root[root]
+    hung = root != np.arange(len(nodes))
+    return nodes[root[hung]], nodes[hung]
+
+
+def _forests(edges: DataFrame, total: int, at_once: int) -> DataFrame:
+    """Edges (a, b) that connect what the `total` of `edges` connect: the stars (smallest node, node) of every `at_once` of them, in as few parts as that makes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars():
+            a, b = spanned(*(np.concatenate([x.column(end).to_numpy() for x in held]) for end in ("a", "b")))
+            return batch_of(a=pa.array(a), b=pa.array(b))
+
+        for batch in batches:
+            for from_ in range(0, batch.num_rows, at_once):
+                part = batch.slice(from_, at_once)
+                if n + part.num_rows > at_once:
+                    yield stars()
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield stars()
+
+    return edges.coalesce(max(1, -(-total // at_once))).mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame, at_once: int = 0) -> DataFrame:
+    """node and root, the smallest node reachable, for every end of the links (a, b) but the roots.
 
     Alternates large-star and small-star steps (minimum of each neighbourhood,
     then re-hang) until the edges no longer change; each round is written out,
     and a hub's neighbours are only ever aggregated or joined, never collected.
+    With `at_once` that many links at a time are first replaced by the stars
+    they span, which needs no rounds if there are no more than these.
     """
     edges, state = cut(links), None
+    if at_once:
+        total, whole = edges.count(), edges
+        edges = cut(_forests(whole, total, at_once))
+        drop_cut(whole)
+        if total <= at_once:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     while True:
         total = edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -1,10 +1,12 @@
 """The near-duplicate stage against all pairs of shingle sets."""
 
+import os
 import random
 
 import pytest
 
 import corpus_pipeline
+from panelforge.functions.storage import shared_dir
 from panelforge.llm import shingles, simhash
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -90,3 +92,34 @@ def test_stage_links_by_simhash(spark):
     for a, b in sorted(got) * len(of):
         group[a] = group[b] = min(group[a], group[b])
     assert all(group[a] == group[b] for a, b in want)
+
+
+def test_stage_gives_up_its_tables(spark):
+    """Signatures, sets and members of buckets do not stay on disk for the stages that follow."""
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    docs, _ = near_copies(spark)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count()
+    left = {x: spark.read.parquet(f"file://{folder}/{x}").columns for x in set(os.listdir(folder)) - before}
+    assert left and not [columns for columns in left.values() if {"keys", "hashes", "size"} & set(columns)]
+
+
+@pytest.mark.parametrize("at_once", [0, 1, 7, simhash.AT_ONCE])
+def test_components_of_parts(spark, at_once):
+    """Chains, stars and random links, whether their parts are first replaced by stars or not, in few jobs where one part holds them all."""
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(-40, -10)] + [(100, 200 + i) for i in range(30)] + [tuple(sorted(r.sample(range(1000, 1060), 2))) for _ in range(40)]
+    links += [(-(1 << 63), (1 << 63) - 1), links[0], (7, 8)]
+    r.shuffle(links)
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    spark.sparkContext.setJobGroup(f"components-{at_once}", "")
+    got = simhash.components(df, at_once)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{at_once}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(x) for x in got.select("node", "root").collect()) == sorted((k, v) for k, v in root.items() if k != v)
+    assert simhash.components(df.limit(0), at_once).count() == 0
+    assert jobs <= 4 or at_once < len(links)
